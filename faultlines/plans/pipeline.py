@@ -1,0 +1,16 @@
+"""The analysis job: logs -> segments -> diagnostics, and what is derived from them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from faultlines.operators.detect import detect_tool, select_parser
+from faultlines.operators.extract import extract_segments
+from faultlines.operators.segment import explode_segments, segment_logs
+
+LOG_COLUMNS = ["log_id", "content", "input_type", "tool_hint", "project_name", "repository", "created_at"]
+
+
+def extracted(logs: DataFrame) -> DataFrame:
+    """Narrow from logs to segment rows with diagnostic fields: no exchange of its own."""
+    return extract_segments(explode_segments(segment_logs(select_parser(detect_tool(logs.select(*LOG_COLUMNS))))))
