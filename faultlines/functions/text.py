@@ -109,12 +109,10 @@ def ci_ends_any(lowered: Column, literals: Iterable[str]) -> Column:
 
 
 def lookup(value: Column, table: Mapping[str, object], default: object = None) -> Column:
-    """Literal map lookup as a CASE chain (codegen-friendly, constant-foldable)."""
-    items = list(table.items())
-    result = F.when(value == items[0][0], F.lit(items[0][1]))
-    for key, mapped in items[1:]:
-        result = result.when(value == key, F.lit(mapped))
-    return result.otherwise(F.lit(default)) if default is not None else result
+    """Literal map lookup; ``value`` is evaluated once, unlike in a CASE chain."""
+    pairs = [F.lit(x) for item in table.items() for x in item]
+    found = F.try_element_at(F.create_map(*pairs), value)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def ci_distinct(values: Column) -> Column:

@@ -301,19 +301,28 @@ def extract_segments(segments: DataFrame) -> DataFrame:
         .withColumn(
             "normalized_message", F.when(F.col("parsed"), normalize_message(tool, code, F.col("template_input")))
         )
-        .withColumn("category", F.when(F.col("parsed"), classify(tool, code, F.col("normalized_message"))))
+        .withColumns(
+            {
+                "_upper": F.upper(code),
+                "_lowered": F.lower(
+                    F.coalesce(blank_to_null(F.col("normalized_message")), F.col("message"))
+                ),
+            }
+        )
+        .withColumn(
+            "category", F.when(F.col("parsed"), classify(tool, code, F.col("_upper"), F.col("_lowered")))
+        )
         .withColumns(
             {
                 "fingerprint": F.when(
-                    F.col("parsed"),
-                    fingerprint(tool, code, F.col("category"), F.col("normalized_message"), F.col("message")),
+                    F.col("parsed"), fingerprint(tool, F.col("_upper"), F.col("category"), F.col("_lowered"))
                 ),
                 "diagnostic_id": F.when(F.col("parsed"), diagnostic_id(F.col("log_id"), F.col("seg"))),
                 "subcategory": _null(),
                 "is_primary_candidate": F.when(F.col("parsed"), F.lit(False)),
             }
         )
-        .drop("template_input")
+        .drop("template_input", "_upper", "_lowered")
     )
 
 

@@ -15,10 +15,14 @@ from faultlines.sources.logs import join_chunks, oversize_logs
 SHORTEST_CHUNK = 9
 
 CHUNKS_SQL = """
-WITH li AS (
-  SELECT l_orderkey AS log_id, l_partkey AS pk, l_suppkey AS sk, CAST(l_quantity AS INT) AS qty, l_returnflag AS rf,
-         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INT) AS n
+WITH src AS (
+  SELECT l_orderkey AS log_id, l_partkey AS pk, l_suppkey AS sk, l_quantity, l_returnflag AS rf, l_linenumber, l_extendedprice,
+         l_discount, l_tax, l_linestatus, l_shipdate
   FROM {lineitem}),
+li AS (
+  SELECT log_id, pk, sk, CAST(l_quantity AS INT) AS qty,
+         CAST(row_number() OVER (PARTITION BY log_id ORDER BY l_linenumber, pk, sk, l_extendedprice, l_quantity, l_discount, l_tax, rf, l_linestatus, l_shipdate) AS INT) AS n
+  FROM src),
 k AS (SELECT *, CAST(log_id % 6 AS INT) AS tk, CAST(pk % 5 AS INT) AS v, chr(39) AS q, chr(34) AS dq, chr(10) AS nl FROM li)
 SELECT log_id, n, tk, CASE
  WHEN tk = 0 THEN CASE v
