@@ -294,7 +294,7 @@ def extract_segments(segments: DataFrame) -> DataFrame:
         .when(F.col("_other").isNotNull(), _vite_other())
     )
     tool, code = F.col("parser_tool"), F.col("code")
-    return (
+    staged = (
         _captures(segments)
         .select(*keep, record.alias("_r"))
         .select(*keep, F.col("_r").isNotNull().alias("parsed"), "_r.*")
@@ -304,26 +304,22 @@ def extract_segments(segments: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "_upper": F.upper(code),
-                "_lowered": F.lower(
-                    F.coalesce(blank_to_null(F.col("normalized_message")), F.col("message"))
-                ),
-            }
-        )
-        .withColumn(
-            "category", F.when(F.col("parsed"), classify(tool, code, F.col("_upper"), F.col("_lowered")))
-        )
-        .withColumns(
-            {
-                "fingerprint": F.when(
-                    F.col("parsed"), fingerprint(tool, F.col("_upper"), F.col("category"), F.col("_lowered"))
-                ),
-                "diagnostic_id": F.when(F.col("parsed"), diagnostic_id(F.col("log_id"), F.col("seg"))),
-                "subcategory": _null(),
-                "is_primary_candidate": F.when(F.col("parsed"), F.lit(False)),
+                "_lowered": F.lower(F.coalesce(blank_to_null(F.col("normalized_message")), F.col("message"))),
             }
         )
-        .drop("template_input", "_upper", "_lowered")
+        .withColumn("category", F.when(F.col("parsed"), classify(tool, code, F.col("_upper"), F.col("_lowered"))))
+    )
+    named = fingerprint(tool, F.col("_upper"), F.col("category"), F.col("_lowered"))
+    fields = F.struct(
+        "parsed", "code", "message", "severity", "source", "location", "metadata", "normalized_message", "category",
+        F.when(F.col("parsed"), named).alias("fingerprint"),
+        F.when(F.col("parsed"), diagnostic_id(F.col("log_id"), F.col("seg"))).alias("diagnostic_id"),
+        _null().alias("subcategory"),
+        F.when(F.col("parsed"), F.lit(False)).alias("is_primary_candidate"),
     )
+    # Inlining a one-element array keeps later filters above this point. Pushed below, they would carry
+    # copies of the whole chain of expressions with them: regexes run twice and plans explode.
+    return staged.select(*keep, F.inline_outer(F.array(fields)))
 
 
 def diagnostics(extracted: DataFrame) -> DataFrame:

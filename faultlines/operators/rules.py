@@ -57,7 +57,7 @@ def rule_errors(drafts: DataFrame) -> DataFrame:
         | (F.coalesce(F.col("confidence_adjustment"), F.lit(0.0)) != 0)
         | F.coalesce(F.col("mark_primary"), F.lit(False))
     )
-    category = F.replace(F.col("category"), F.lit("-"), F.lit(""))
+    category = F.translate("category", "-_", "")
     checks = [
         F.when(is_blank(F.col("name")), _error("name", "Name is required.")),
         F.when(~has_trigger, _error("conditions", "At least one condition trigger is required.")),
