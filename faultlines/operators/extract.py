@@ -33,6 +33,7 @@ from faultlines.functions.text import (
     ws_trim,
 )
 from faultlines.operators import patterns_text as P
+from faultlines.session import per_session
 
 LOCATION = T.StructType(
     [
@@ -76,7 +77,8 @@ def diagnostic_id(log_id: Column, seg: Column) -> Column:
     return F.concat(F.lit("diag_"), log_id.cast("string"), F.lit("_"), F.lpad(seg.cast("string"), 6, "0"))
 
 
-def _captures(segments: DataFrame) -> DataFrame:
+def _capture_stages() -> list[dict[str, Column]]:
+    """Later stages read columns of earlier ones, so that no regex runs where an earlier one decided."""
     tool, segment = F.col("parser_tool"), F.col("segment")
     header = F.substring_index(segment, "\n", 1)
     first = {
@@ -121,7 +123,7 @@ def _captures(segments: DataFrame) -> DataFrame:
             vite_parse & F.col("_parse").isNull(), capture(segment, C.VITE_FILE, 3, IGNORE_CASE_LINES)
         ),
     }
-    return segments.withColumns(first).withColumns(second).withColumns(third).withColumns(fourth)
+    return [first, second, third, fourth]
 
 
 def _dotnet_source(code: Column, explicit: Column) -> Column:
@@ -275,9 +277,9 @@ def _vite_other() -> Column:
     )
 
 
-def extract_segments(segments: DataFrame) -> DataFrame:
-    """Every segment row with its diagnostic fields; ``parsed`` is false where no format matched."""
-    keep = segments.columns
+@per_session
+def _stages() -> tuple[list[dict[str, Column]], Column, list[dict[str, Column]], Column]:
+    """Captures, the record per format, what is derived from the record, and the packed result."""
     npm_found = (F.col("parser_tool") == "Npm") & F.coalesce(
         F.col("_code"), F.col("_line_code"), F.col("_message")
     ).isNotNull()
@@ -293,33 +295,39 @@ def extract_segments(segments: DataFrame) -> DataFrame:
         .when(F.col("_parse").isNotNull(), _vite_parse())
         .when(F.col("_other").isNotNull(), _vite_other())
     )
-    tool, code = F.col("parser_tool"), F.col("code")
-    staged = (
-        _captures(segments)
-        .select(*keep, record.alias("_r"))
-        .select(*keep, F.col("_r").isNotNull().alias("parsed"), "_r.*")
-        .withColumn(
-            "normalized_message", F.when(F.col("parsed"), normalize_message(tool, code, F.col("template_input")))
-        )
-        .withColumns(
-            {
-                "_upper": F.upper(code),
-                "_lowered": F.lower(F.coalesce(blank_to_null(F.col("normalized_message")), F.col("message"))),
-            }
-        )
-        .withColumn("category", F.when(F.col("parsed"), classify(tool, code, F.col("_upper"), F.col("_lowered"))))
-    )
+    tool, code, parsed = F.col("parser_tool"), F.col("code"), F.col("parsed")
+    derived = [
+        {"normalized_message": F.when(parsed, normalize_message(tool, code, F.col("template_input")))},
+        {
+            "_upper": F.upper(code),
+            "_lowered": F.lower(F.coalesce(blank_to_null(F.col("normalized_message")), F.col("message"))),
+        },
+        {"category": F.when(parsed, classify(tool, code, F.col("_upper"), F.col("_lowered")))},
+    ]
     named = fingerprint(tool, F.col("_upper"), F.col("category"), F.col("_lowered"))
     fields = F.struct(
         "parsed", "code", "message", "severity", "source", "location", "metadata", "normalized_message", "category",
-        F.when(F.col("parsed"), named).alias("fingerprint"),
-        F.when(F.col("parsed"), diagnostic_id(F.col("log_id"), F.col("seg"))).alias("diagnostic_id"),
+        F.when(parsed, named).alias("fingerprint"),
+        F.when(parsed, diagnostic_id(F.col("log_id"), F.col("seg"))).alias("diagnostic_id"),
         _null().alias("subcategory"),
-        F.when(F.col("parsed"), F.lit(False)).alias("is_primary_candidate"),
+        F.when(parsed, F.lit(False)).alias("is_primary_candidate"),
     )
+    return _capture_stages(), record, derived, F.inline_outer(F.array(fields))
+
+
+def extract_segments(segments: DataFrame) -> DataFrame:
+    """Every segment row with its diagnostic fields; ``parsed`` is false where no format matched."""
+    keep = segments.columns
+    captures, record, derived, packed = _stages()
+    staged = segments
+    for stage in captures:
+        staged = staged.withColumns(stage)
+    staged = staged.select(*keep, record.alias("_r")).select(*keep, F.col("_r").isNotNull().alias("parsed"), "_r.*")
+    for stage in derived:
+        staged = staged.withColumns(stage)
     # Inlining a one-element array keeps later filters above this point. Pushed below, they would carry
     # copies of the whole chain of expressions with them: regexes run twice and plans explode.
-    return staged.select(*keep, F.inline_outer(F.array(fields)))
+    return staged.select(*keep, packed)
 
 
 def diagnostics(extracted: DataFrame) -> DataFrame:

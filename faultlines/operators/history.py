@@ -54,6 +54,11 @@ def _by_scope(requests: DataFrame, search) -> DataFrame:
     return result
 
 
+def _another() -> Column:
+    """The request itself is left out; a request need not be an analysis, so ids are compared as text."""
+    return F.col("analysis_id").cast("string") != F.col("request_id").cast("string")
+
+
 # ---------------------------------------------------------------- related analyses
 
 
@@ -74,7 +79,7 @@ def related_in_scope(requests: DataFrame, analyses: DataFrame, limit: int, scope
     ranked = W.partitionBy("request_id").orderBy(F.desc("created_at"), "analysis_id")
     return (
         wanted.join(recent, ["fingerprint", *scope])
-        .filter(F.col("analysis_id") != F.col("request_id"))
+        .filter(_another())
         .groupBy("request_id", "analysis_id")
         .agg(
             F.first("created_at").alias("created_at"),
@@ -158,7 +163,7 @@ def similar_in_scope(requests: DataFrame, diagnostics: DataFrame, limit: int, sc
     )
     pairs = _scored(
         asked.join(keyed, ["tool_kind", "key", *scope])
-        .filter(F.col("analysis_id") != F.col("request_id"))
+        .filter(_another())
         .filter(once)
     )
     best = pairs.groupBy("request_id", "analysis_id").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from faultlines.functions.text import IGNORE_CASE_LINES, capture, normalize_newlines, pattern, rtrim_lines, ws_trim
 from faultlines.operators import patterns_text as P
+from faultlines.session import per_session
 
 PASS_THROUGH = [
     "log_id", "input_type", "tool_detected", "parser_tool", "parser_name", "project_name", "repository", "created_at",
@@ -39,6 +40,17 @@ def python_segments(lines: Column, content: Column) -> Column:
 
 def segment_logs(selected: DataFrame) -> DataFrame:
     """Adds segments ARRAY<STRING> and total_segments; the content itself is dropped."""
+    lines, segments = _segment_columns()
+    keep = [c for c in selected.columns if c != "content"]
+    return (
+        selected.withColumn("_lines", lines)
+        .select(*keep, segments.alias("segments"))
+        .withColumn("total_segments", F.size("segments"))
+    )
+
+
+@per_session
+def _segment_columns() -> tuple[Column, Column]:
     tool, content = F.col("parser_tool"), F.col("content")
     segments = (
         F.when(tool == "DotNet", dotnet_segments(F.col("_lines")))
@@ -48,12 +60,7 @@ def segment_logs(selected: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<string>"))
     )
     lines = F.when(tool.isin("DotNet", "TypeScript", "Python"), rtrim_lines(normalize_newlines(content)))
-    keep = [c for c in selected.columns if c != "content"]
-    return (
-        selected.withColumn("_lines", lines)
-        .select(*keep, segments.alias("segments"))
-        .withColumn("total_segments", F.size("segments"))
-    )
+    return lines, segments
 
 
 def explode_segments(segmented: DataFrame) -> DataFrame:

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def per_session(build):
+    """Caches expressions for the life of a Spark application: building them costs many calls to the JVM."""
+    cache: dict[str, object] = {}
+
+    @functools.wraps(build)
+    def cached():
+        app = SparkSession.getActiveSession().sparkContext.applicationId
+        if app not in cache:
+            cache.clear()
+            cache[app] = build()
+        return cache[app]
+
+    return cached
+
+
 def local_session(cores: str = "8", app: str = "faultlines", memory: str = "8g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")

@@ -316,7 +316,7 @@ cte(
 oracle("sim_score", "SELECT request_id, diagnostic_id, round(score, 6) AS score, match_type FROM pair_scores WHERE score >= 0.45")
 _prefix = case("match_type", C.SIM_SUMMARY_PREFIX)
 cte(
-    "similar",
+    "similar_rows",
     f"""SELECT b.request_id, b.analysis_id, position, match_type, round_even(score, 2) AS match_score, created_at,
       {_prefix} || ' ' || CASE WHEN length(message) > 180 THEN left(message, 177) || '...' ELSE message END AS summary_text, mf AS matching_fingerprints, mc AS matching_codes FROM (
       SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, created_at DESC, analysis_id) AS INT) AS position FROM (
@@ -325,7 +325,7 @@ cte(
         FROM pair_scores WHERE score >= 0.45 GROUP BY ALL) m ON m.request_id = b.request_id AND m.analysis_id = b.analysis_id WHERE position <= 3""",
     True,
 )
-oracle("sim_search", "SELECT request_id, analysis_id, position, match_type, match_score, summary_text, matching_fingerprints, matching_codes FROM similar")
+oracle("sim_search", "SELECT request_id, analysis_id, position, match_type, match_score, summary_text, matching_fingerprints, matching_codes FROM similar_rows")
 oracle("nar_get", "SELECT log_id AS analysis_id, tool_detected, narrative_summary, group_summaries, next_steps, 'deterministic' AS narrative_source FROM stored_narr WHERE gate")
 cte(
     "doc_narr",
@@ -419,7 +419,7 @@ cte(
     """SELECT s.request_id, s.position - 1 AS ord, 'internal:analysis:similar:' || s.analysis_id AS id, 'prior-analysis' AS kind, 'internal' AS source, 'Similar persisted analysis' AS title,
       'Similar persisted analysis from ' || strftime(s.created_at, '%Y-%m-%d %H:%M') || ' UTC for ' || h.project_name || ' / ' || h.repository || '. ' || s.summary_text AS summary, NULL AS url, 'analysis' AS resource_type,
       CAST(s.analysis_id AS VARCHAR) AS resource_id, 'history | ' || lower(n.tool_kind) || ' | match:' || s.match_type || coalesce(' | ' || nullif(s.matching_codes, ''), '') AS tags
-      FROM similar s JOIN hist h ON h.log_id = s.analysis_id JOIN newest n ON n.request_id = s.request_id
+      FROM similar_rows s JOIN hist h ON h.log_id = s.analysis_id JOIN newest n ON n.request_id = s.request_id
       WHERE (SELECT count(*) FROM (SELECT request_id FROM new_rules UNION ALL SELECT request_id FROM new_patterns UNION ALL SELECT request_id FROM new_prior) c WHERE c.request_id = s.request_id) < 8""",
 )
 oracle("kno_similar", f"SELECT {_ref_cols} FROM new_similar")
