@@ -611,23 +611,25 @@ KNOWLEDGE_KIND_ORDER = {"official-doc": 0, "rule": 1, "recurring-pattern": 2, "p
 KNOWLEDGE_RULE_DEFAULT = "Matched internal rule guidance is available for this diagnostic pattern."
 KNOWLEDGE_PATTERN_ONCE = "This diagnostic fingerprint has been observed before in persisted analysis history."
 
-# Redaction for log lines: (pattern, replacement), in order
+# Redaction for log lines: (text without which the pattern cannot match, pattern, replacement), in order
+LOG_SECRET = (
+    r"(?i)\b(api[_-]?key|access[_-]?token|refresh[_-]?token|token|secret|password)\b\s*[:=]\s*([^\s,;]+)",
+    "$1=<redacted>",
+)
 LOG_REDACTIONS = [
-    (r"(?i)\b(api[_-]?key|access[_-]?token|refresh[_-]?token|token|secret|password)\b\s*[:=]\s*([^\s,;]+)",
-     "$1=<redacted>"),
-    (r"(?i)\bBearer\s+[A-Za-z0-9\-._~+/]+=*", "Bearer <redacted>"),
-    (r"https?://[^\s\"']+", "<redacted:url>"),
-    (r"(?:[a-zA-Z]:\\|\\\\)[^\s\"']+", "<redacted:path>"),
-    (r"(?<!\w)/(?:[^/\s\"']+/)+[^/\s\"']+", "<redacted:path>"),
-    (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "<redacted:email>"),
+    ("bearer", r"(?i)\bBearer\s+[A-Za-z0-9\-._~+/]+=*", "Bearer <redacted>"),
+    ("http", r"https?://[^\s\"']+", "<redacted:url>"),
+    ("\\", r"(?:[a-zA-Z]:\\|\\\\)[^\s\"']+", "<redacted:path>"),
+    ("/", r"(?<!\w)/(?:[^/\s\"']+/)+[^/\s\"']+", "<redacted:path>"),
+    ("@", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "<redacted:email>"),
 ]
-# Redaction for stored raw content: (pattern, replacement), in order; the secret comes last
+# Redaction for stored raw content: the same form; the secret comes last
 RAW_REDACTIONS = [
-    (r"(?i)https?://\S+", "[redacted-url]"),
-    (r"\b[A-Za-z]:\\(?:[^\s:;\"'<>|]+\\)*[^\s:;\"'<>|]*", "[redacted-path]"),
-    (r"(?<![A-Za-z0-9_\-])/(?:[^\s/]+/)*[^\s/:]+", "[redacted-path]"),
-    (r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[redacted-email]"),
-    (r"(?i)Bearer\s+[A-Za-z0-9._\-+/=]+", "Bearer [redacted-token]"),
+    ("http", r"(?i)https?://\S+", "[redacted-url]"),
+    (":\\", r"\b[A-Za-z]:\\(?:[^\s:;\"'<>|]+\\)*[^\s:;\"'<>|]*", "[redacted-path]"),
+    ("/", r"(?<![A-Za-z0-9_\-])/(?:[^\s/]+/)*[^\s/:]+", "[redacted-path]"),
+    ("@", r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[redacted-email]"),
+    ("bearer", r"(?i)Bearer\s+[A-Za-z0-9._\-+/=]+", "Bearer [redacted-token]"),
 ]
 RAW_SECRET = r"(?i)\b(?:(token)|(secret|password|api[_-]?key))\b\s*[:=]\s*([^\s,;]+)"
 RAW_SECRET_TOKEN, RAW_SECRET_OTHER = "[redacted-token]", "[redacted-secret]"

@@ -70,7 +70,8 @@ def groups(rows: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """Five counts per log; every group gives exactly one candidate, so primary issues equal groups."""
+    """Five counts per log and the fingerprint of each diagnostic; every group gives exactly one candidate,
+    so primary issues equal groups."""
     found = F.count("fingerprint").cast("int")
     fields = [c for c in LOG_FIELDS if c in rows.columns]
     return rows.groupBy("log_id").agg(
@@ -81,4 +82,7 @@ def summary(rows: DataFrame) -> DataFrame:
         found.alias("primary_issue_count"),
         F.sum("error_count").cast("int").alias("error_count"),
         F.sum("warning_count").cast("int").alias("warning_count"),
+        F.sort_array(
+            F.flatten(F.collect_list(F.when(F.col("count") > 0, F.array_repeat("fingerprint", F.col("count")))))
+        ).alias("fingerprints"),
     )

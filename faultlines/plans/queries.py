@@ -814,8 +814,15 @@ def _reference_requests(h: dict[str, DataFrame], spark) -> DataFrame:
     return K.reference_requests(h["analyses"], h["diagnostics"], h["rule_matches"], X.rules(spark))
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A written table in the shared folder: what several later steps read is computed once."""
+    path = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _newest(h, spark) -> DataFrame:
-    return K.newest_requests(_reference_requests(h, spark))
+    return staged(K.newest_requests(_reference_requests(h, spark)), "requests")
 
 
 @query
@@ -942,9 +949,10 @@ def _knowledge_parts(h, spark, requests: DataFrame, scope: list[str]) -> list[Da
         h["analyses"].select("analysis_id", "project_name", "repository"), "analysis_id"
     )
     kinds = requests.select("request_id", "tool_kind")
-    so_far = rules.unionByName(patterns).unionByName(prior)
+    so_far = staged(rules.unionByName(patterns).unionByName(prior), "references")
     more = K.similar_references(similar.join(kinds, "request_id"), so_far)
-    return [K.documents_by_code(requests), K.documents_by_category(requests), rules, patterns, prior, more]
+    parts = [so_far.filter(F.col("kind") == kind) for kind in ("rule", "recurring-pattern", "prior-analysis")]
+    return [K.documents_by_code(requests), K.documents_by_category(requests), *parts, more]
 
 
 @query
@@ -964,19 +972,19 @@ def kno_merge(spark, sf_dir):
 def kno_pattern_detail(spark, sf_dir):
     """Details of the top patterns; the list length is the feature's own limit."""
     h = history(spark, sf_dir)
-    top = P.top_patterns(h["patterns"], C.MAX_TOP_PATTERNS)
+    top = staged(P.top_patterns(h["patterns"], C.MAX_TOP_PATTERNS), "top-patterns")
     related = R.related_rules(_related_contexts({**h, "patterns": top}), X.rules(spark))
     ids = related.groupBy("fingerprint").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("position", "rule_id"))), lambda x: x["rule_id"]).alias("rule_ids")
     )
     none = F.array().cast("array<string>")
-    requests = top.join(ids, "fingerprint", "left").select(
+    requests = staged(top.join(ids, "fingerprint", "left").select(
         F.col("fingerprint").alias("request_id"), "tool_kind", F.array("fingerprint").alias("fingerprints"),
         F.array_compact(F.array("diagnostic_code")).alias("codes"), F.array("category").alias("categories"),
         F.coalesce("rule_ids", F.array().cast("array<int>")).alias("rule_ids"),
         F.coalesce(tokens(F.col("canonical_message")), none).alias("query_tokens"),
         F.lit(None).cast("string").alias("project_name"), F.lit(None).cast("string").alias("repository"),
-    )
+    ), "pattern-requests")
     merged = K.merge_references(_knowledge_parts(h, spark, requests, []))
     return K.pattern_documents(top, related, merged).select(
         "fingerprint", "title", "occurrence_count", F.to_json("related_rules").alias("related_rules"),
@@ -1060,11 +1068,7 @@ def prv_expiry(spark, sf_dir):
 
 
 def _events(spark, sf_dir) -> DataFrame:
-    rows = G.group_rows(_segments(spark, sf_dir))
-    fps = rows.withColumn("_fps", F.array_repeat("fingerprint", F.col("count")))
-    per_log = G.summary(rows).join(
-        fps.groupBy("log_id").agg(F.sort_array(F.flatten(F.collect_list("_fps"))).alias("fingerprints")), "log_id"
-    )
+    per_log = G.summary(G.group_rows(_segments(spark, sf_dir)))
     return TM.events(
         per_log.withColumns(
             {

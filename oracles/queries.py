@@ -50,7 +50,7 @@ oracle("src_hash", "SELECT log_id, sha256(content) AS sha, left(sha256(content),
 
 def _redact_raw(x: str) -> str:
     # Steps 1, 2, 4, 5 as they are; step 3 with a captured prefix, run twice because neighbours share a character.
-    for i, (regex, replacement) in enumerate(C.RAW_REDACTIONS):
+    for i, (_, regex, replacement) in enumerate(C.RAW_REDACTIONS):
         if i == 2:
             x = f"regexp_replace({x}, '(^|[^A-Za-z0-9_\\-])/(?:[^\\s/]+/)*[^\\s/:]+', '\\1[redacted-path]', 'g')"
         else:
@@ -440,8 +440,8 @@ cte(
 
 def _redact_log(x: str) -> str:
     x = trim(x)
-    for i, (regex, replacement) in enumerate(C.LOG_REDACTIONS):
-        if i == 4:
+    for regex, replacement in [C.LOG_SECRET] + [r[1:] for r in C.LOG_REDACTIONS]:
+        if "(?<!" in regex:
             step = rf"regexp_replace({{}}, '(^|[^\pL\pN_])/(?:[^/\s\"'']+/)+[^/\s\"'']+', '\1<redacted:path>', 'g')"
             x = step.format(x)
         else:
