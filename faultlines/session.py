@@ -41,13 +41,18 @@ def local_session(cores: str = "8", app: str = "faultlines", memory: str = "8g")
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; only a session without one (tests) gets a local folder."""
+    """The folder all executors share, from spark.checkpoint.dir; only a session without that setting
+    (tests, local runs) gets a local folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured.rstrip("/")
-    local = os.environ.get("FAULTLINES_SHARED_DIR") or tempfile.mkdtemp(prefix="faultlines-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = os.environ.get("FAULTLINES_SHARED_DIR") or tempfile.mkdtemp(prefix="faultlines-")
+    return _LOCAL_FOLDERS[app]
