@@ -31,7 +31,7 @@ from faultlines.operators import telemetry as TM
 from faultlines.operators.detect import detect_tool, select_parser
 from faultlines.operators.extract import diagnostics, segment_stats, unparsed, with_order_index
 from faultlines.operators.segment import explode_segments, segment_logs
-from faultlines.plans import pipeline, store
+from faultlines.plans import analysis, store
 from faultlines.session import shared_folder
 from faultlines.sources import fixtures as X
 from faultlines.sources import logs as S
@@ -74,7 +74,7 @@ def history(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _segments(spark, sf_dir) -> DataFrame:
-    return pipeline.extracted(X.logs(spark, sf_dir))
+    return analysis.extracted(X.logs(spark, sf_dir))
 
 
 def _diagnostics(spark, sf_dir, tool: str | None = None, code: str | None = None) -> DataFrame:
@@ -213,7 +213,7 @@ def seg_lines(spark, sf_dir):
 
 
 def _only_segments(spark, sf_dir, *tools: str) -> DataFrame:
-    chosen = pipeline.selected(X.logs(spark, sf_dir)).filter(F.col("parser_tool").isin(*tools))
+    chosen = analysis.selected(X.logs(spark, sf_dir)).filter(F.col("parser_tool").isin(*tools))
     return explode_segments(segment_logs(chosen)).filter(F.col("segment").isNotNull()).select("log_id", "seg", "segment")
 
 
@@ -471,7 +471,7 @@ def grp_fingerprint(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    return pipeline.ranked(_segments(spark, sf_dir))
+    return analysis.ranked(_segments(spark, sf_dir))
 
 
 @query
@@ -534,7 +534,7 @@ def nar_steps(spark, sf_dir):
 @query
 def prj_single(spark, sf_dir):
     segments = _segments(spark, sf_dir)
-    rows = pipeline.with_empty_logs(pipeline.ranked(segments), segments)
+    rows = analysis.with_empty_logs(analysis.ranked(segments), segments)
     view = J.single_view(rows.filter(F.col("input_type") == "SingleDiagnostic"))
     return view.withColumns({"likely_causes": lst("likely_causes"), "suggested_fixes": lst("suggested_fixes")})
 
@@ -665,7 +665,7 @@ def _applied_view(rows: DataFrame) -> DataFrame:
 
 @query
 def rul_apply(spark, sf_dir):
-    return _applied_view(pipeline.applied(_segments(spark, sf_dir), X.rules(spark)))
+    return _applied_view(analysis.applied(_segments(spark, sf_dir), X.rules(spark)))
 
 
 @query
@@ -707,7 +707,7 @@ def rul_related(spark, sf_dir):
 
 @query
 def rul_preview(spark, sf_dir):
-    rows = pipeline.applied(_segments(spark, sf_dir), X.rules(spark), stored=False)
+    rows = analysis.applied(_segments(spark, sf_dir), X.rules(spark), stored=False)
     return rows.select(
         "log_id", "fingerprint", "previous_rank", F.round("previous_confidence", 6).alias("before"), "rank",
         F.round("confidence", 6).alias("after"), "applied_rules", "title",
@@ -732,7 +732,7 @@ def _pattern_view(df: DataFrame) -> DataFrame:
 def pat_fold(spark, sf_dir):
     rules = X.rules(spark)
     kept = sinks.persisted_only(X.logs(spark, sf_dir))
-    rows = P.pattern_rows(pipeline.applied(pipeline.extracted(kept), rules))
+    rows = P.pattern_rows(analysis.applied(analysis.extracted(kept), rules))
     return _pattern_view(P.patterns(P.fold_patterns(rows)))
 
 

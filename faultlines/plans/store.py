@@ -14,7 +14,7 @@ from faultlines.operators import rules as R
 from faultlines.operators.extract import diagnostics, with_order_index
 from faultlines.operators.group import groups, group_rows
 from faultlines.operators.privacy import stored_raw_content
-from faultlines.plans import pipeline
+from faultlines.plans import analysis
 from faultlines.sources import sinks
 
 TABLES = ["segments", "candidates", "analyses", "diagnostics", "groups", "rule_matches", "pattern_state"]
@@ -24,16 +24,16 @@ def build_store(logs: DataFrame, rules: DataFrame, path: str, by_date: bool = Fa
     """Analyses the logs to be persisted and writes all tables below ``path``."""
     spark = logs.sparkSession
     kept = sinks.persisted_only(logs)
-    sinks.write_table(pipeline.extracted(kept), f"{path}/segments")
+    sinks.write_table(analysis.extracted(kept), f"{path}/segments")
     segments = spark.read.parquet(f"{path}/segments")
 
-    own = pipeline.applied(segments, rules)
-    sinks.write_table(pipeline.with_empty_logs(own, segments), f"{path}/candidates")
+    own = analysis.applied(segments, rules)
+    sinks.write_table(analysis.with_empty_logs(own, segments), f"{path}/candidates")
     candidates = spark.read.parquet(f"{path}/candidates")
 
     facts = sinks.log_facts(stored_raw_content(kept))
     created = "created_at" if by_date else None
-    sinks.write_table(sinks.analysis_rows(pipeline.narrated(candidates), facts), f"{path}/analyses", created)
+    sinks.write_table(sinks.analysis_rows(analysis.narrated(candidates), facts), f"{path}/analyses", created)
 
     ordered = with_order_index(diagnostics(segments))
     sinks.write_table(ordered.withColumnRenamed("log_id", "analysis_id"), f"{path}/diagnostics", created)

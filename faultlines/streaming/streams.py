@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from faultlines.operators.extract import diagnostics
 from faultlines.operators.patterns import fold_patterns, merge_patterns, pattern_rows
 from faultlines.operators.rules import record_matches
-from faultlines.plans import pipeline
+from faultlines.plans import analysis
 
 WINDOW, LATENESS = "1 day", "1 hour"
 
@@ -39,7 +39,7 @@ def extract_stream(logs: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     """Arriving logs -> diagnostics, one folder per epoch."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        found = diagnostics(pipeline.extracted(batch))
+        found = diagnostics(analysis.extracted(batch))
         found.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return _start(logs, checkpoint, each)

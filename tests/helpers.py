@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from faultlines.plans import pipeline
+from faultlines.plans import analysis
 from faultlines.sources.logs import LOG_SCHEMA
 
 GOLDEN = {
@@ -51,4 +51,4 @@ def golden_logs(spark):
 
 def parse(spark, content: str, hint: str | None = None):
     """Segment rows of one log, in order."""
-    return pipeline.extracted(logs(spark, {"x": content}, hint=hint)).orderBy("seg").collect()
+    return analysis.extracted(logs(spark, {"x": content}, hint=hint)).orderBy("seg").collect()

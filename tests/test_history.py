@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultlines.operators import history as H
 from faultlines.operators import patterns as P
 from faultlines.operators import privacy as V
-from faultlines.plans import pipeline, queries as Q
+from faultlines.plans import analysis, queries as Q
 from faultlines.sources import fixtures as X
 
 
@@ -78,7 +78,7 @@ def test_similar_equals_brute_force(spark):
 
 
 def test_pattern_merge_is_associative(spark, sf_dir):
-    rows = P.pattern_rows(pipeline.applied(pipeline.extracted(X.logs(spark, sf_dir)), X.rules(spark))).cache()
+    rows = P.pattern_rows(analysis.applied(analysis.extracted(X.logs(spark, sf_dir)), X.rules(spark))).cache()
     whole = sorted(map(str, P.patterns(P.fold_patterns(rows)).collect()))
     parts = [P.fold_patterns(rows.filter(F.pmod(F.xxhash64("first"), F.lit(3)) == i)) for i in range(3)]
     merged = P.merge_patterns(P.merge_patterns(parts[2], parts[0]), parts[1])

@@ -6,7 +6,7 @@ from helpers import GOLDEN, golden_logs, logs, parse
 from faultlines.operators.detect import detect_tool, select_parser
 from faultlines.operators.extract import segment_stats
 from faultlines.operators.group import group_rows, summary
-from faultlines.plans import pipeline
+from faultlines.plans import analysis
 
 EXPECTED = {
     # total, groups, errors, warnings, fingerprint, category, code, parser
@@ -20,7 +20,7 @@ EXPECTED = {
 
 
 def test_golden_logs(spark):
-    segments = pipeline.extracted(golden_logs(spark)).cache()
+    segments = analysis.extracted(golden_logs(spark)).cache()
     sums = {r["log_id"]: r for r in summary(group_rows(segments)).collect()}
     assert set(sums) == set(GOLDEN)
     for name, (total, groups, errors, warnings, fp, category, code, parser) in EXPECTED.items():
@@ -136,7 +136,7 @@ def test_long_segments_do_not_overflow(spark):
     dotnet = "a.cs(1,2): error CS0103: x\n" + "  more text here\n" * lines
     tsc = "a.ts(1,2): error TS2304: x\n" + "\n  code here\n" * lines
     vite = "x" * 200_000 + "\nvite v5\n"
-    segments = pipeline.extracted(logs(spark, {"d": dotnet, "t": tsc, "v": vite})).collect()
+    segments = analysis.extracted(logs(spark, {"d": dotnet, "t": tsc, "v": vite})).collect()
     by_log = {r["log_id"]: r for r in segments}
     assert len(by_log["d"]["segment"].split("\n")) == lines + 1 and not by_log["d"]["parsed"]
     assert by_log["t"]["parsed"] and by_log["v"]["code"] == "VITE_BUILD_ERROR"

@@ -4,7 +4,7 @@ from helpers import GOLDEN, logs
 from pyspark.sql import functions as F
 
 from faultlines.operators import rules as R
-from faultlines.plans import pipeline
+from faultlines.plans import analysis
 from faultlines.sources import fixtures as X
 
 
@@ -16,12 +16,12 @@ def _rows(df):
 
 
 def test_inlined_rules_equal_joined_rules(spark, sf_dir, monkeypatch):
-    segments, rules = pipeline.extracted(X.logs(spark, sf_dir)), X.rules(spark)
-    inlined = _rows(pipeline.applied(segments, rules))
+    segments, rules = analysis.extracted(X.logs(spark, sf_dir)), X.rules(spark)
+    inlined = _rows(analysis.applied(segments, rules))
     matched = sorted(tuple(r) for r in R.match_diagnostics(segments.filter("parsed"), rules).collect())
     monkeypatch.setattr(R, "INLINE_RULES", 2)
     monkeypatch.setattr(R, "SLICE_RULES", 4)
-    assert _rows(pipeline.applied(segments, rules)) == inlined
+    assert _rows(analysis.applied(segments, rules)) == inlined
     assert sorted(tuple(r) for r in R.match_diagnostics(segments.filter("parsed"), rules).collect()) == matched
     assert len(inlined) > 100
 
@@ -29,7 +29,7 @@ def test_inlined_rules_equal_joined_rules(spark, sf_dir, monkeypatch):
 def test_rule_hits_count_once_per_diagnostic(spark):
     text = "\n".join(f"a.cs({i},1): error CS0103: The name 'x{i}' does not exist in the current context" for i in range(3))
     rules = X.rules(spark).filter("rule_id = 1")
-    (row,) = pipeline.applied(pipeline.extracted(logs(spark, {"x": text})), rules).collect()
+    (row,) = analysis.applied(analysis.extracted(logs(spark, {"x": text})), rules).collect()
     assert row["applied_rules"] == 3 and row["title"] == "Fix the name"
     assert round(row["confidence"], 6) == 1.0 and row["previous_confidence"] == 0.99
     assert row["suggested_fixes"][-1] == "Check spelling." and row["signals"][-1] == "rule:cs0103 guide"
@@ -37,8 +37,8 @@ def test_rule_hits_count_once_per_diagnostic(spark):
 
 def test_scope_only_rule_hits_every_group(spark):
     rules = X.rules(spark).filter("rule_id = 8").withColumn("repository", F.lit(" REPO "))
-    segments = pipeline.extracted(logs(spark, {"x": GOLDEN["dotnet.mixed"][1]}))
-    rows = pipeline.applied(segments, rules).collect()
+    segments = analysis.extracted(logs(spark, {"x": GOLDEN["dotnet.mixed"][1]}))
+    rows = analysis.applied(segments, rules).collect()
     assert [r["applied_rules"] for r in rows] == [2, 2, 2]
 
 
