@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlines.llm import bpe, secrets
+from faultlines.llm import bpe, packing, secrets, token_counts
 from faultlines.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), end_id=2, window=4096)
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +22,15 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by table lookup and worker caches."""
+    return token_counts.count(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE), limit=4096)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and structurally confirmed secrets of every document."""
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_codec, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op5_token_counts, op9_secret_scan)}
 ORACLES: dict[str, str] = {}
