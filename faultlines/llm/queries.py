@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlines.llm import bpe, packing, secrets, token_counts
+from faultlines.llm import bpe, jaccard_join, packing, secrets, token_counts
 from faultlines.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -27,10 +27,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE), limit=4096)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard_join.join(documents(spark, sf_dir), size=4, num=85, den=100)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and structurally confirmed secrets of every document."""
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op5_token_counts, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op5_token_counts, op6_jaccard_join, op9_secret_scan)}
 ORACLES: dict[str, str] = {}
