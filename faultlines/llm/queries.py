@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlines.llm import bpe, jaccard_join, packing, secrets, token_counts
+from faultlines.llm import bpe, jaccard_join, packing, secrets, suffix_dedup, token_counts
 from faultlines.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 50-byte string of an earlier document covers."""
+    return suffix_dedup.dedup(documents(spark, sf_dir), length=50)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by table lookup and worker caches."""
     return token_counts.count(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE), limit=4096)
@@ -37,5 +42,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op5_token_counts, op6_jaccard_join, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op4_suffix_dedup, op5_token_counts, op6_jaccard_join, op9_secret_scan)}
 ORACLES: dict[str, str] = {}
