@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultlines.llm import bpe, jaccard_join, packing, secrets, suffix_dedup, token_counts
+from faultlines.llm import bpe, jaccard_join, labelled, packing, quality, secrets, suffix_dedup, token_counts, toxicity
 from faultlines.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -37,10 +38,31 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir), size=4, num=85, den=100)
 
 
+def _classified(spark: SparkSession, sf_dir: str, method, folds: int, held: int, threshold: float) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = method.fit(docs, labels.where(labelled.fold("doc_id", folds) != held))
+    return method.score(docs, model).select(
+        "doc_id",
+        F.coalesce(labelled.fold("doc_id", folds) == held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of one fold in three are never learned."""
+    return _classified(spark, sf_dir, toxicity, folds=3, held=1, threshold=0.7)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of one fold in five are never learned."""
+    return _classified(spark, sf_dir, quality, folds=5, held=0, threshold=0.3)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and structurally confirmed secrets of every document."""
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op4_suffix_dedup, op5_token_counts, op6_jaccard_join, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op4_suffix_dedup, op5_token_counts, op6_jaccard_join, op7_toxicity, op8_quality, op9_secret_scan)}
 ORACLES: dict[str, str] = {}
