@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +76,14 @@ def text_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     flat = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about ``most`` bytes together (one row at least), so that the memory of a
+    task does not depend on the batch size."""
+    _, offsets = text_values(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlines.llm.common import buckets_of, mix, parts_for, stored
+from faultlines.llm.common import buckets_of, mix, parts_for, slices, stored
 from faultlines.llm.components import components
 from faultlines.llm.shingles import sets
 
 KEY_BYTES = 12
 PART_BYTES = 24 << 20
 BLOCK = 2048
-SLICE = 4000
+HELD_KEYS = 1_500_000
 
 
 def bands(largest: int, num: int, den: int) -> np.ndarray:
@@ -84,8 +84,7 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
+            for piece in slices(batch, 1):
                 cuts, h = sets(piece.column(1), size)
                 s1, s2 = _set_ids(cuts, h)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(cuts)), pa.array(s1), pa.array(s2)], ["id", "n", "s1", "s2"])
@@ -114,8 +113,7 @@ def _dealt_keys(docs: DataFrame, size: int, low: np.ndarray, num: int, den: int,
         seen: set[tuple[int, int]] = set()
         keys, ids, held = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
+            for piece in slices(batch, 1):
                 cuts, h = sets(piece.column(1), size)
                 s1, s2 = _set_ids(cuts, h)
                 for id_, a, b, x, y in zip(piece.column(0).to_pylist(), cuts.tolist(), cuts[1:].tolist(), s1.tolist(), s2.tolist()):
@@ -126,7 +124,7 @@ def _dealt_keys(docs: DataFrame, size: int, low: np.ndarray, num: int, den: int,
                     keys.append(key)
                     ids.append(np.full(len(key), id_, np.int64))
                     held += len(key)
-                if held > 4_000_000:
+                if held > HELD_KEYS:
                     yield from packed(keys, ids)
                     keys, ids, held = [], [], 0
         if held:
@@ -194,8 +192,7 @@ def folded(bitmaps: list[bytes]) -> np.ndarray:
 def _arrays(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
+            for piece in slices(batch, 1):
                 cuts, h = sets(piece.column(1), size)
                 own = [h[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(

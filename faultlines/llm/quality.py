@@ -19,14 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from faultlines.llm import labelled
-from faultlines.llm.common import mix, text_values
+from faultlines.llm.common import mix, slices, text_values
 from faultlines.llm.shingles import shingles
 
 WORDS = 4096
 RANK = 8
 EPOCHS = 6
 BATCH = 256
-SLICE = 1000
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 blank, 5 line end, 6 sentence mark, 7 other sign, 8 lead of a longer character
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
 _KIND[[32, 9, 11, 12, 13]], _KIND[10] = 4, 5
@@ -154,8 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
+            for piece in slices(batch, 0):
                 r, c, v, dense = inputs(piece.column(0))
                 cuts = np.searchsorted(r, np.arange(piece.num_rows + 1))
                 words = [c[a:b].astype("<u2").tobytes() + v[a:b].astype("<f4").tobytes() for a, b in zip(cuts, cuts[1:])]
@@ -182,8 +180,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
+            for piece in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own.score(piece.column(1)))], [id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
