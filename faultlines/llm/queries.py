@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlines.llm import bpe, jaccard_join, labelled, packing, quality, secrets, suffix_dedup, token_counts, toxicity
+from faultlines.llm import bpe, embedding_dedup, jaccard_join, labelled, packing, quality, secrets, suffix_dedup, token_counts, toxicity
 from faultlines.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -64,5 +64,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op4_suffix_dedup, op5_token_counts, op6_jaccard_join, op7_toxicity, op8_quality, op9_secret_scan)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of 0.98 or more."""
+    return embedding_dedup.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
+QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op4_suffix_dedup, op5_token_counts, op6_jaccard_join, op7_toxicity, op8_quality, op9_secret_scan, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {}
