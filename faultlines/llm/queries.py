@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlines.llm import bpe, embedding_dedup, jaccard_join, labelled, packing, quality, secrets, suffix_dedup, token_counts, toxicity
+from faultlines.llm import bpe, embedding_dedup, fingerprints, jaccard_join, labelled, packing, quality, secrets, suffix_dedup, token_counts, toxicity
 from faultlines.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent weighted samples of every document and of its edited text."""
+    return fingerprints.fingerprint(documents(spark, sf_dir))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), end_id=2, window=4096)
@@ -69,5 +74,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op2_pack, op3_bpe_codec, op4_suffix_dedup, op5_token_counts, op6_jaccard_join, op7_toxicity, op8_quality, op9_secret_scan, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pack, op3_bpe_codec, op4_suffix_dedup, op5_token_counts, op6_jaccard_join, op7_toxicity, op8_quality, op9_secret_scan, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {}
