@@ -1,19 +1,69 @@
-"""Training-corpus pipeline over ``documents``: each stage works on all rows that the one before kept."""
+"""Training-corpus pipeline over ``documents``: each stage works on all rows that the one before kept.
+
+Nulls: a null text is empty for every stage; a row without an id is never a duplicate. Rows that repeat an id are
+separate documents, except to the near-duplicate stage, which keeps or drops them together. Columns other than id, text and
+n_chars pass through unchanged up to the last stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultlines.llm import secrets
+from faultlines.llm import jaccard_join, packing, secrets, suffix_dedup, toxicity
 from faultlines.llm.common import stored
 
+TOXIC = 0.7
+SHINGLE_WORDS, SIMILAR, OF = 5, 80, 100
+REPEATED_BYTES = 50
+WINDOW, END_ID = 4096, 2
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now, where the table has that column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go. The model learns from the labels of all documents that are left."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.filtered(docs, model, TOXIC)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    found = jaccard_join.join(docs, size=SHINGLE_WORDS, num=SIMILAR, den=OF)
+    return docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Text that an earlier document holds goes; a document of which nothing is left goes with it."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = suffix_dedup.dedup(docs, REPEATED_BYTES, with_text=True, carry=rest)
+    return _measured(found.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", F.col("kept")).select(docs.columns))
+
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets found by the scan are replaced by a mark."""
-    return secrets.redact(docs)
+    return _measured(secrets.redact(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID, window=WINDOW)
 
 
-STAGES = [("secrets", secret_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_array_dedup", repeated_text_stage),
+    ("secret_scans", secret_stage),
+    ("packing", packing_stage),
+]
+#: Encoders, trees and suffix arrays have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

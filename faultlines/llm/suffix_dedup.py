@@ -198,6 +198,7 @@ class _Part:
     def __init__(self, table: pa.Table, repeated: np.ndarray, length: int):
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
         table = table.take(pa.array(order)).combine_chunks()
+        self.table = table
         self.ids = table.column("id").to_numpy()
         self.flat, self.offsets = text_values(table.column("text"))
         self.length = length
@@ -377,16 +378,18 @@ def _whole_characters(flat: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(whole, np.diff(np.append(lead, len(flat))))
 
 
-def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept, the remaining text
-    as whole characters (a character of which only some bytes are covered stays)."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    as whole characters (a character of which only some bytes are covered stays). Columns named in carry are handed on."""
+    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    types = [docs.schema[c].dataType.simpleString() for c in carry]
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), *carried)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = parts_for(size, PART_BYTES)
     part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    parts = docs.select(part.alias("part"), "id", "text").repartition(n, "part")
-    repeated = _repeated(_dealt_anchors(parts, length, n), n)
-    answers = _answers(_dealt_segments(parts, repeated, length, n), length, n)
+    parts = docs.select(part.alias("part"), "*").repartition(n, "part")
+    repeated = _repeated(_dealt_anchors(parts.select("part", "id", "text"), length, n), n)
+    answers = _answers(_dealt_segments(parts.select("part", "id", "text"), repeated, length, n), length, n)
 
     digests = docs.select("id", F.sha2("text", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
@@ -398,7 +401,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table([pa.array([], t) for _, t in fields], [f for f, _ in fields])
+            columns = [pa.array([], t) for _, t in fields] + [left.column(c) for c in passed]
+            return pa.table(columns, [f for f, _ in fields] + passed)
         held = _Part(left, _blob_of(right, 0, np.uint64), length)
         copied = [np.array(x, np.int64) for k, x in zip(right.column("kind").to_pylist(), right.column("ids").to_pylist()) if k == 2]
         gone = _covered(held, _blob_of(right, 1, ANSWER), np.concatenate(copied) if copied else np.zeros(0, np.int64))
@@ -414,12 +418,15 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
             out["kept_sha256"].append(hashlib.sha256(held.flat[a:b][~cover].tobytes()).hexdigest())
             if with_text:
                 out["kept"].append(held.flat[a:b][~soft[a:b]].tobytes().decode())
-        return pa.table([pa.array(out[f], t) for f, t in fields], [f for f, _ in fields])
+        columns = [pa.array(out[f], t) for f, t in fields] + [held.table.column(c) for c in passed]
+        return pa.table(columns, [f for f, _ in fields] + passed)
 
+    passed = [f"carried_{i}" for i in range(len(carry))]
     none = F.lit(None).cast("array<bigint>").alias("ids")
     sent = repeated.select("part", "kind", "blob", none).union(answers.select("part", "kind", "blob", none)).union(
         copies.select("part", "kind", F.lit(None).cast("binary").alias("blob"), "ids")
     )
-    schema = ", ".join(f"{f} {'string' if t == pa.string() else 'bigint'}" for f, t in fields)
+    schema = ", ".join([f"{f} {'string' if t == pa.string() else 'bigint'}" for f, t in fields] + [f"{c} {t}" for c, t in zip(passed, types)])
     found = parts.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(finish, schema)
-    return found.withColumn("id", F.nullif(F.col("id"), F.lit(LAST))).withColumnRenamed("id", id_col)
+    own = [F.nullif(F.col("id"), F.lit(LAST)).alias(id_col), *(f for f, _ in fields[1:])]
+    return found.select(*own, *[F.col(p).alias(c) for p, c in zip(passed, carry)])

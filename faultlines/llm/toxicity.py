@@ -229,3 +229,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own.score(x))], [id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose score is below threshold."""
+    names = docs.columns
+    where = names.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
+                x = np.array([features(t or "", own.lexicon) for t in piece.column(where).to_pylist()])
+                yield piece.filter(pa.array(own.score(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
