@@ -179,7 +179,7 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             v1, n1, _, b1 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + v1, blocks[-1][1] + n1, blocks[-1][2], b1]
     at = np.array([p for b in blocks for p in (b[2], b[3])])
-    level = np.array([(b[0] + 0.5 * share) / (b[1] + 0.5) for share in [y.mean()] for b in blocks for _ in (0, 1)])
+    level = np.array([(b[0] + 0.1 * share) / (b[1] + 0.1) for share in [y.mean()] for b in blocks for _ in (0, 1)])
     return at, np.maximum.accumulate(level)
 
 
