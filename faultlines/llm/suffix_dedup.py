@@ -2,7 +2,9 @@
 
 A suffix array of a whole large corpus would shuffle many times its size, so it is built where strings can repeat:
 
-1. Each window of ``length`` bytes is assigned to the smallest hash of its 8-byte grams, its anchor. Equal windows have
+0. Copies of a whole text are known by their SHA-256: all but the first are removed entirely (if they have a window at
+   all) and take no part in what follows, as the first has a smaller id.
+1. Each window of ``length`` bytes is assigned to the smallest hash of its 20-byte grams, its anchor. Equal windows have
    equal anchors, wherever they stand. Neighbouring windows of one anchor form a segment. Per part of the corpus, every
    distinct anchor is dealt out once, and the anchors that stand in different texts are sent back to the parts.
 2. Parts deal out their segments with such anchors by anchor, each distinct segment once. A task gathers the segments of
@@ -11,8 +13,7 @@ A suffix array of a whole large corpus would shuffle many times its size, so it
    that order whose first ``length`` bytes agree are one string; its smallest document id goes back to the parts.
 3. Parts mark the windows whose smallest id is below the document's own and remove the bytes covered.
 
-Texts are judged on the input. Copies of a whole text are known by their SHA-256: all but the first are removed
-entirely (if they have a window at all). Work is dealt by hash of id or anchor, one row to a part and bucket: a passage
+Texts are judged on the input. Work is dealt by hash of id or anchor, one row to a part and bucket: a passage
 in a third of all documents is one entry to a part. The corpus is shuffled once; later steps reuse that exchange.
 
 Null and empty texts and texts shorter than ``length`` lose nothing; rows that repeat an id do not remove each other's
@@ -83,12 +84,28 @@ def _grams(flat: np.ndarray) -> np.ndarray:
     return np.ndarray((len(flat) - 7,), "<u8", buffer=np.ascontiguousarray(flat), strides=(1,))
 
 
+def _hashed(flat: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size (8 to 24) bytes from every position."""
+    grams = _grams(flat)
+    n = len(flat) - size + 1
+    h = grams[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for shift in sorted({min(k, size - 8) for k in (8, 16)} - {0}):
+        h ^= h >> np.uint64(32)
+        h += grams[shift : shift + n]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def segments(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start in flat, windows, anchor) of every segment of the rows; length is at least 16."""
     empty = np.zeros(0, np.int64)
     if len(flat) < length:
         return empty, empty, empty.astype(np.uint64)
-    low, span, left = mix(_grams(flat)), 1, length - 7
+    gram = 20 if length >= 40 else 8
+    low, span, left = _hashed(flat, gram), 1, length - gram + 1
     while span < left:
         step = min(span, left - span)
         low = np.minimum(low[:-step], low[step:])
@@ -102,7 +119,7 @@ def segments(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     joined[1:] = good[:-1] & (low[1:] == low[:-1])
     start = np.flatnonzero(good & ~joined)
     stop = np.flatnonzero(good & ~np.append(joined[1:] & good[1:], False)) + 1
-    return start, stop - start, low[start]
+    return start, stop - start, mix(low[start])  # least hashes are small: spread them again
 
 
 def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -114,73 +131,69 @@ def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _classes(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each row's text."""
-    view = memoryview(np.ascontiguousarray(flat))
-    cuts = offsets.tolist()
-    return np.array([int.from_bytes(hashlib.blake2b(view[a:b], digest_size=8).digest(), "little") for a, b in zip(cuts, cuts[1:])], np.uint64)
+ONE = np.uint64(1)
 
 
-def _dealt_anchors(parts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, part, blob): the distinct anchors of each part with the text they stand in, 0 for several texts."""
+def _merged(anchor: np.ndarray) -> np.ndarray:
+    """Distinct anchors, sorted; the last bit is set where an anchor came more than once or had it set."""
+    anchor = np.sort(anchor)
+    if not len(anchor):
+        return anchor
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] | ONE) != (anchor[:-1] | ONE)]))
+    several = (np.diff(np.append(first, len(anchor))) > 1) | (np.bitwise_or.reduceat(anchor, first) & ONE > 0)
+    return (anchor[first] & ~ONE) | several.astype(np.uint64)
 
-    def merged(anchor: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(anchor)
-        anchor, text = anchor[order], text[order]
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
-        if not len(first):
-            return anchor, text
-        low, high = np.minimum.reduceat(text, first), np.maximum.reduceat(text, first)
-        return anchor[first], np.where(low == high, low, 0).astype(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            flat, offsets = text_values(batch.column(2))
-            where = batch.column(0).to_numpy()
+def _dealt_anchors(parts: DataFrame, copies: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(bucket, part, blob): the distinct anchors of each part; the last bit tells that several texts hold one."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, types = ["bucket", "part", "blob"], [pa.int32(), pa.int32(), pa.binary()]
+        rows: list[tuple[int, bytes]] = []
+        if left.num_rows:
+            copied = _copies_of(right)
+            left = left.combine_chunks()
+            flat, offsets = text_values(left.column("text"))
+            whole = ~np.isin(left.column("id").to_numpy(), copied)
+            found = []
             for a, b in _chunks(offsets):
                 own = offsets[a : b + 1] - offsets[a]
-                piece = flat[offsets[a] : offsets[b]]
-                start, _, anchor = segments(piece, own, length)
-                row = np.searchsorted(own, start, side="right") - 1
-                text = _classes(piece, own)
-                for part in np.unique(where[a:b]).tolist():
-                    at = where[a:b][row] == part
-                    held.setdefault(part, []).append(merged(anchor[at], text[row[at]]))
-        for part in list(held):
-            found = held.pop(part)
-            anchor, text = merged(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+                start, _, anchor = segments(flat[offsets[a] : offsets[b]], own, length)
+                row = a + np.searchsorted(own, start, side="right") - 1
+                keep = whole[row]
+                row, anchor = row[keep], anchor[keep] & ~ONE
+                order = np.lexsort((anchor, row))  # a text counts once
+                row, anchor = row[order], anchor[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+                found.append(_merged(anchor[new]))
+            anchor = _merged(np.concatenate(found))
             cuts = np.searchsorted(buckets_of(anchor, buckets), np.arange(buckets + 1))
-            rows = [(k, anchor[x:y].tobytes() + text[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([v for _, v in rows], pa.binary())],
-                ["bucket", "part", "blob"],
-            )
+            rows = [(k, anchor[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+        part = left.column("part")[0].as_py() if left.num_rows else 0
+        return pa.table([pa.array([k for k, _ in rows], types[0]), pa.array([part] * len(rows), types[1]), pa.array([v for _, v in rows], types[2])], names)
 
-    return parts.mapInArrow(run, "bucket int, part int, blob binary")
+    return parts.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(run, "bucket int, part int, blob binary")
 
 
 def _repeated(dealt: DataFrame, buckets: int) -> DataFrame:
     """(part, kind, blob): for each part those of its anchors that stand in different texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, texts, parts = [], [], []
+        anchors, parts = [], []
         for batch in batches:
             for part, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
-                values = np.frombuffer(blob.as_buffer(), np.uint64)
-                n = len(values) // 2
-                anchors.append(values[:n])
-                texts.append(values[n:])
-                parts.append(np.full(n, part, np.int32))
+                anchors.append(np.frombuffer(blob.as_buffer(), np.uint64))
+                parts.append(np.full(len(anchors[-1]), part, np.int32))
         if not anchors:
             return
-        anchor, text, part = np.concatenate(anchors), np.concatenate(texts), np.concatenate(parts)
+        anchor, part = np.concatenate(anchors), np.concatenate(parts)
         order = np.argsort(anchor)
-        anchor, text, part = anchor[order], text[order], part[order]
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        several = (np.minimum.reduceat(text, first) == 0) | (np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first))
-        keep = np.repeat(several, np.diff(np.append(first, len(anchor))))
-        anchor, part = anchor[keep], part[keep]
+        anchor, part = anchor[order], part[order]
+        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] | ONE) != (anchor[:-1] | ONE)]))
+        count = np.diff(np.append(first, len(anchor)))
+        keep = np.repeat((count > 1) | (np.bitwise_or.reduceat(anchor, first) & ONE > 0), count)
+        anchor, part = anchor[keep] & ~ONE, part[keep]
         order = np.argsort(part, kind="stable")
         anchor, part = anchor[order], part[order]
         names, at = np.unique(part, return_index=True)
@@ -195,7 +208,7 @@ def _repeated(dealt: DataFrame, buckets: int) -> DataFrame:
 class _Part:
     """The segments of a part that can repeat elsewhere; equal segments share a number."""
 
-    def __init__(self, table: pa.Table, repeated: np.ndarray, length: int):
+    def __init__(self, table: pa.Table, repeated: np.ndarray, copies: np.ndarray, length: int):
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
         table = table.take(pa.array(order)).combine_chunks()
         self.table = table
@@ -203,13 +216,15 @@ class _Part:
         self.flat, self.offsets = text_values(table.column("text"))
         self.length = length
         repeated = np.sort(repeated)
+        self.copied = np.isin(self.ids, copies)
         starts, windows, anchors = [], [], []
         if len(repeated):
             for a, b in _chunks(self.offsets):
                 piece = self.flat[self.offsets[a] : self.offsets[b]]
                 start, n, anchor = segments(piece, self.offsets[a : b + 1] - self.offsets[a], length)
-                at = np.minimum(np.searchsorted(repeated, anchor), len(repeated) - 1)
-                held = repeated[at] == anchor
+                at = np.minimum(np.searchsorted(repeated, anchor & ~ONE), len(repeated) - 1)
+                anchor &= ~ONE
+                held = (repeated[at] == anchor) & ~self.copied[a + np.searchsorted(self.offsets[a : b + 1] - self.offsets[a], start, side="right") - 1]
                 starts.append(start[held] + self.offsets[a])
                 windows.append(n[held])
                 anchors.append(anchor[held])
@@ -229,6 +244,11 @@ def _blob_of(table: pa.Table, kind: int, dtype) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros(0, dtype)
 
 
+def _copies_of(table: pa.Table) -> np.ndarray:
+    rows = [np.array(x, np.int64) for k, x in zip(table.column("kind").to_pylist(), table.column("ids").to_pylist()) if k == 2]
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64)
+
+
 def _dealt_segments(parts: DataFrame, repeated: DataFrame, length: int, buckets: int) -> DataFrame:
     """(bucket, part, blob): the distinct segments of each part, with the smallest and largest id that holds each."""
 
@@ -237,7 +257,7 @@ def _dealt_segments(parts: DataFrame, repeated: DataFrame, length: int, buckets:
         types = [pa.int32(), pa.int32(), pa.binary()]
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in types], names)
-        held = _Part(left, _blob_of(right, 0, np.uint64), length)
+        held = _Part(left, _blob_of(right, 0, np.uint64), _copies_of(right), length)
         n = len(held.content)
         low, high, anchor = np.full(n, LAST), np.full(n, -LAST - 1), np.zeros(n, np.uint64)
         np.minimum.at(low, held.number, held.ids[held.row])
@@ -349,7 +369,7 @@ def _answers(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
     return dealt.repartition(buckets, "bucket").mapInArrow(run, "part int, kind int, blob binary")
 
 
-def _covered(held: _Part, answers: np.ndarray, copies: np.ndarray) -> np.ndarray:
+def _covered(held: _Part, answers: np.ndarray) -> np.ndarray:
     """Which bytes of the part are removed."""
     edge = np.zeros(len(held.flat) + 1, np.int32)
     if len(answers) and len(held.number):
@@ -363,7 +383,7 @@ def _covered(held: _Part, answers: np.ndarray, copies: np.ndarray) -> np.ndarray
         np.add.at(edge, held.start[rows] + a["first"], 1)
         np.add.at(edge, held.start[rows] + a["last"].astype(np.int64) - 1 + held.length, -1)
     sizes = np.diff(held.offsets)
-    for row in np.flatnonzero(np.isin(held.ids, copies) & (sizes >= held.length)).tolist():
+    for row in np.flatnonzero(held.copied & (sizes >= held.length)).tolist():
         edge[held.offsets[row]] += 1
         edge[held.offsets[row + 1]] -= 1
     return np.cumsum(edge[:-1]) > 0
@@ -388,13 +408,14 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     n = parts_for(size, PART_BYTES)
     part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     parts = docs.select(part.alias("part"), "*").repartition(n, "part")
-    repeated = _repeated(_dealt_anchors(parts.select("part", "id", "text"), length, n), n)
-    answers = _answers(_dealt_segments(parts.select("part", "id", "text"), repeated, length, n), length, n)
-
+    texts = parts.select("part", "id", "text")
     digests = docs.select("id", F.sha2("text", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    later = digests.join(firsts, "digest").where("id > first").select(part.alias("part"), F.lit(2).alias("kind"), "id").distinct()
-    copies = later.groupBy("part", "kind").agg(F.collect_list("id").alias("ids"))
+    later = digests.join(firsts, "digest").where("id > first").select(part.alias("part"), "id").distinct()
+    none = F.lit(None)
+    copies = later.groupBy("part").agg(F.collect_list("id").alias("ids")).select("part", F.lit(2).alias("kind"), none.cast("binary").alias("blob"), "ids")
+    repeated = _repeated(_dealt_anchors(texts, copies, length, n), n).withColumn("ids", none.cast("array<bigint>"))
+    answers = _answers(_dealt_segments(texts, repeated.union(copies), length, n), length, n).withColumn("ids", none.cast("array<bigint>"))
 
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("kept", pa.string())] if with_text else []
@@ -403,9 +424,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         if not left.num_rows:
             columns = [pa.array([], t) for _, t in fields] + [left.column(c) for c in passed]
             return pa.table(columns, [f for f, _ in fields] + passed)
-        held = _Part(left, _blob_of(right, 0, np.uint64), length)
-        copied = [np.array(x, np.int64) for k, x in zip(right.column("kind").to_pylist(), right.column("ids").to_pylist()) if k == 2]
-        gone = _covered(held, _blob_of(right, 1, ANSWER), np.concatenate(copied) if copied else np.zeros(0, np.int64))
+        held = _Part(left, _blob_of(right, 0, np.uint64), _copies_of(right), length)
+        gone = _covered(held, _blob_of(right, 1, ANSWER))
         soft = _whole_characters(held.flat, gone) if with_text else gone
         out: dict[str, list] = {f: [] for f, _ in fields}
         cuts = held.offsets.tolist()
@@ -422,11 +442,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         return pa.table(columns, [f for f, _ in fields] + passed)
 
     passed = [f"carried_{i}" for i in range(len(carry))]
-    none = F.lit(None).cast("array<bigint>").alias("ids")
-    sent = repeated.select("part", "kind", "blob", none).union(answers.select("part", "kind", "blob", none)).union(
-        copies.select("part", "kind", F.lit(None).cast("binary").alias("blob"), "ids")
-    )
     schema = ", ".join([f"{f} {'string' if t == pa.string() else 'bigint'}" for f, t in fields] + [f"{c} {t}" for c, t in zip(passed, types)])
-    found = parts.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(finish, schema)
+    found = parts.groupBy("part").cogroup(repeated.union(answers).union(copies).groupBy("part")).applyInArrow(finish, schema)
     own = [F.nullif(F.col("id"), F.lit(LAST)).alias(id_col), *(f for f, _ in fields[1:])]
     return found.select(*own, *[F.col(p).alias(c) for p, c in zip(passed, carry)])
