@@ -297,23 +297,24 @@ def snippet(value: Column, text: str) -> Column:
 
 def search_narratives(
     narratives: DataFrame, text: str, limit: int, tool: str | None = None, source: str | None = None,
-    project_name: str | None = None, repository: str | None = None,
+    project_name: str | None = None, repository: str | None = None, pool: int | None = None,
 ) -> DataFrame:
-    """The newest matches (a fixed pool size) scored by field; both limits are part of the feature."""
+    """All matches scored by field, the best ``limit`` of them. ``pool`` keeps only that many of the newest matches before
+    the scoring; by default none is left out."""
     if not text.strip():
         raise ValueError("Text is required.")
-    pool = (
+    matches = (
         _filtered(narratives, tool, source, project_name, repository)
         .withColumns(search_match(text))
         .filter(F.col("score") > 0)
-        .orderBy(F.desc("created_at"), "analysis_id")
-        .limit(C.NARRATIVE_SEARCH_POOL)
     )
+    if pool is not None:
+        matches = matches.orderBy(F.desc("created_at"), "analysis_id").limit(pool)
+    best = matches.orderBy(F.desc("score"), F.desc("created_at"), "analysis_id").limit(limit)
     return (
-        pool.withColumn("match_snippet", snippet(F.col("_matched"), text))
+        best.withColumn("match_snippet", snippet(F.col("_matched"), text))
         .drop("_matched")
         .orderBy(F.desc("score"), F.desc("created_at"), "analysis_id")
-        .limit(limit)
     )
 
 

@@ -2,13 +2,12 @@
 
 A rule matches when all its set triggers match, so the matched-condition list is a property of the rule.
 Small rule tables become literal predicates (``inline``): no join, constants folded, every regex compiled
-once. Larger ones are joined in broadcast slices of bounded size, so no rule is ever left out.
+once. Larger ones are joined on their most selective trigger, in one pass over the targets. Rules whose regex does
+not compile are reported by ``bad_regexes`` and match nothing.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from faultlines.operators.sizing import fits
 from faultlines.sources.logs import parse_tool
 
 INLINE_RULES = 200
-SLICE_RULES = 20_000
+RELATED_SLICE_RULES = 20_000
 
 _TRIGGERS = [
     ("projectName", "project_name"),
@@ -89,24 +88,30 @@ def rule_errors(drafts: DataFrame) -> DataFrame:
 
 
 def bad_regexes(drafts: DataFrame) -> DataFrame:
-    """Rules whose regex does not compile; checked where the rows are, not on the driver."""
-
-    def check(batches):
-        for batch in batches:
-            rows = []
-            for rule_id, *texts in batch.itertuples(index=False):
-                for field, text in zip(("conditions.messageRegex", "conditions.filePathRegex"), texts):
-                    if isinstance(text, str) and text.strip():
-                        try:
-                            re.compile(text)
-                        except re.error:
-                            rows.append((rule_id, field, "The regex pattern is invalid."))
-            yield type(batch)(rows, columns=["rule_id", "field", "message"])
-
-    kind = drafts.schema["rule_id"].dataType.simpleString()
-    return drafts.select("rule_id", "message_regex", "file_path_regex").mapInPandas(
-        check, f"rule_id {kind}, field string, message string"
+    """Rules whose regex the engine that matches them cannot compile."""
+    invalid = F.array_compact(
+        F.array(
+            *[
+                F.when(~compiles(F.col(column)), _error(field, "The regex pattern is invalid."))
+                for column, field in (("message_regex", "conditions.messageRegex"), ("file_path_regex", "conditions.filePathRegex"))
+            ]
+        )
     )
+    return drafts.select("rule_id", invalid.alias("found")).select("rule_id", F.explode("found").alias("e")).select(
+        "rule_id", "e.field", "e.message"
+    )
+
+
+def compiles(regex: Column) -> Column:
+    """Whether a regex is blank or compiles with the flags that matching uses."""
+    pattern = F.concat(F.lit("(?Uid)"), regex)
+    return is_blank(regex) | F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def usable(rules: DataFrame) -> DataFrame:
+    """Rules that can be matched: a stored regex that does not compile takes only its own rule out."""
+    checked = rules.withColumn("_usable", compiles(F.col("message_regex")) & compiles(F.col("file_path_regex")))
+    return checked.filter("_usable").drop("_usable")
 
 
 def duplicate_names(rules: DataFrame) -> DataFrame:
@@ -241,8 +246,8 @@ def local_rules(rules: DataFrame) -> list[Row] | None:
     """The rules in order of use when there are few enough to inline, else None."""
     if not fits(rules, INLINE_RULES):
         return None
-    rows = rules.collect()
-    return sorted(rows, key=lambda r: (-r["priority"], -(r["match_count"] or 0), r["name"]))
+    rows = usable(rules).collect()
+    return sorted(rows, key=lambda r: (-r["priority"], -(r["match_count"] or 0), r["name"], r["rule_id"]))
 
 
 # ---------------------------------------------------------------- matching
@@ -355,19 +360,42 @@ def _hit_rows(df: DataFrame, rules: DataFrame, target: str, stored: bool) -> Dat
         ids = F.array(*[F.lit(r["rule_id"]) for r in local])
         hits = F.transform(inline_hits(local, predicate, stored), lambda i: ids[i])
         return df.select("log_id", F.explode(hits).alias("rule_id"), target_id.alias("target_id"), "fingerprint")
-    described = describe(rules)
-    slices = -(-rules.count() // SLICE_RULES)
-    parts = []
-    for i in range(slices):
-        part = described.filter(F.pmod(F.xxhash64("rule_id"), F.lit(slices)) == i)
-        joined = df.withColumn("target_id", target_id).alias("d").join(
-            F.broadcast(part).alias("r"), _joined_predicate(target, stored)
-        )
-        parts.append(joined.select("d.log_id", "r.rule_id", "d.target_id", "d.fingerprint"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return keyed_hits(df.withColumn("target_id", target_id), rules, target, stored)
+
+
+def _match_keys(target: str) -> list[tuple[str, str, str]]:
+    """Triggers that are equalities, most selective first: name, column of the rule, column of the target."""
+    if target == "group":
+        return [("fingerprint", "fingerprint", "fingerprint"), ("project", "project_name", "project_name"), ("repository", "repository", "repository")]
+    return [
+        ("fingerprint", "fingerprint", "fingerprint"), ("code", "code", "code"), ("project", "project_name", "project_name"),
+        ("repository", "repository", "repository"), ("category", "category", "category"), ("tool", "tool_kind", "parser_tool"),
+        ("severity", "severity", "severity"),
+    ]
+
+
+def keyed_hits(df: DataFrame, rules: DataFrame, target: str, stored: bool = True) -> DataFrame:
+    """Matches by an equi-join on each rule's most selective equality, the other triggers tested on what meets.
+
+    The targets are read once, however many rules there are. A target gives one key for each equality that some rule
+    may use; a rule with nothing but regexes meets every target on the empty key.
+    """
+    keys = _match_keys(target)
+
+    def key(name: str, value: Column) -> Column:
+        return F.concat(F.lit(name + ":"), F.lower(ws_trim(value)))
+
+    chosen = F.coalesce(*[F.when(~is_blank(F.col(column)), key(name, F.col(column))) for name, column, _ in keys], F.lit(""))
+    given = F.array_distinct(F.array_compact(F.array(F.lit(""), *[key(name, F.col(own)) for name, _, own in keys])))
+    wanted = describe(usable(rules)).withColumn("rule_key", chosen)
+    used = wanted.select(F.split_part("rule_key", F.lit(":"), F.lit(1)).alias("k")).distinct().agg(F.collect_set("k").alias("used"))
+    offered = df.withColumn("given", given).crossJoin(F.broadcast(used)).withColumn(
+        "target_key", F.explode(F.filter("given", lambda k: F.array_contains("used", F.split_part(k, F.lit(":"), F.lit(1)))))
+    )
+    joined = offered.drop("given", "used").alias("d").join(
+        wanted.alias("r"), (F.col("d.target_key") == F.col("r.rule_key")) & _joined_predicate(target, stored)
+    )
+    return joined.select("d.log_id", "r.rule_id", "d.target_id", "d.fingerprint")
 
 
 def match_diagnostics(diags: DataFrame, rules: DataFrame, stored: bool = True) -> DataFrame:
@@ -454,7 +482,7 @@ def rerank(candidates: DataFrame) -> DataFrame:
 def apply_applications(candidates: DataFrame, applications: DataFrame, rules: DataFrame) -> DataFrame:
     """Join form of ``apply_hits`` for rule tables too large to inline."""
     order = [
-        (-F.col("priority")).alias("p"), (-F.coalesce(F.col("match_count"), F.lit(0))).alias("m"), F.col("name"),
+        (-F.col("priority")).alias("p"), (-F.coalesce(F.col("match_count"), F.lit(0))).alias("m"), F.col("name"), F.col("rule_id"),
     ]
     entry = F.struct(
         *order, blank_to_null(F.col("title")).alias("title"), blank_to_null(F.col("explanation")).alias("explanation"),
@@ -546,8 +574,8 @@ def related_rules(contexts: DataFrame, rules: DataFrame, limit: int = C.RELATED_
     ranked = W.partitionBy("fingerprint").orderBy(
         F.desc("score"), F.desc("priority"), F.desc("match_count"), F.col("rule_name"), F.col("rule_id")
     )
-    enabled = rules.filter("is_enabled")
-    parts, slices = [], 1 if fits(enabled, SLICE_RULES) else -(-enabled.count() // SLICE_RULES)
+    enabled = usable(rules.filter("is_enabled"))
+    parts, slices = [], 1 if fits(enabled, RELATED_SLICE_RULES) else -(-enabled.count() // RELATED_SLICE_RULES)
     for i in range(slices):
         part = enabled if slices == 1 else enabled.filter(F.pmod(F.xxhash64("rule_id"), F.lit(slices)) == i)
         parts.append(

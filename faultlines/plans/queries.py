@@ -572,13 +572,14 @@ def rul_validate(spark, sf_dir):
 
 @query
 def rul_regex(spark, sf_dir):
-    """Drafts whose message regex is a bare page fragment: only those that do not compile are listed."""
+    """Drafts made of whole pages. By their making, odd pages have an unclosed group as message regex and every third
+    page an unclosed class as path regex; only those are listed."""
+    words = F.regexp_replace("html", "[^A-Za-z0-9]+", " ")
+    page = F.col("page_id")
     drafts = X.table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("rule_id"),
-        F.concat(F.lit("("), F.substring("html", 1, 40), F.when(F.col("page_id") % 2 == 0, F.lit(")")).otherwise("")).alias(
-            "message_regex"
-        ),
-        F.lit(None).cast("string").alias("file_path_regex"),
+        page.alias("rule_id"),
+        F.concat(F.lit("("), words, F.when(page % 2 == 0, F.lit(")")).otherwise("")).alias("message_regex"),
+        F.concat(F.lit("["), words, F.when(page % 3 != 0, F.lit("]")).otherwise("")).alias("file_path_regex"),
     )
     return R.bad_regexes(drafts)
 
@@ -634,6 +635,13 @@ def rul_match_diag(spark, sf_dir):
     return hits.select("log_id", "rule_id", "target_id", "fingerprint")
 
 
+@query
+def rul_match_many(spark, sf_dir):
+    """As many rules as there are parts against all diagnostics: hits and logs of every rule that matches."""
+    hits = R.keyed_hits(_segments(spark, sf_dir).filter("parsed").withColumn("target_id", F.col("diagnostic_id")), X.many_rules(spark, sf_dir), "diagnostic")
+    return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("log_id").alias("logs"))
+
+
 @query
 def rul_match_group(spark, sf_dir):
     hits = R.match_groups(G.groups(G.group_rows(_segments(spark, sf_dir))), X.rules(spark))
@@ -860,7 +868,7 @@ def nar_get(spark, sf_dir):
 def _document_narratives(spark, sf_dir) -> DataFrame:
     d, o = X.table(spark, sf_dir, "documents"), X.table(spark, sf_dir, "orders")
     null = F.lit(None).cast("string")
-    return d.join(o, d.doc_id == o.o_orderkey).select(
+    return d.join(o, d.doc_id == o.o_orderkey, "left").select(
         F.col("doc_id").alias("analysis_id"), F.col("text").alias("narrative_summary"),
         F.when(F.col("doc_id") % 2 == 0, F.lit("deterministic")).otherwise(F.lit("ai")).alias("narrative_source"),
         F.element_at(F.array(*[F.lit(t) for t in ("DotNet", "Npm", "Vite")]), (F.col("doc_id") % 3 + 1).cast("int")).alias(
@@ -970,9 +978,9 @@ def kno_merge(spark, sf_dir):
 
 @query
 def kno_pattern_detail(spark, sf_dir):
-    """Details of the top patterns; the list length is the feature's own limit."""
+    """Details of every pattern."""
     h = history(spark, sf_dir)
-    top = staged(P.top_patterns(h["patterns"], C.MAX_TOP_PATTERNS), "top-patterns")
+    top = staged(h["patterns"], "all-patterns")
     related = R.related_rules(_related_contexts({**h, "patterns": top}), X.rules(spark))
     ids = related.groupBy("fingerprint").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("position", "rule_id"))), lambda x: x["rule_id"]).alias("rule_ids")
@@ -1132,11 +1140,10 @@ def tel_http(spark, sf_dir):
 
 
 def _answers(spark, sf_dir) -> DataFrame:
-    """The first assistant turn of each conversation as a raw model answer for the log of that number."""
+    """Every assistant turn as a raw model answer, for the log whose number is 16 times the conversation plus the turn."""
     turns = X.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    start = F.substring("text", 1, 20)
-    items = F.array(F.concat(F.lit(" "), start), F.upper(start), F.lit("  "), F.lit("Check the log."))
+    upper = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    items = F.array(F.concat(F.lit(" "), F.col("text")), upper, F.lit("  "), F.lit("Check the log."))
     document = F.to_json(
         F.struct(
             F.col("text").alias("explanation"), items.alias("likelyCauses"), F.array().cast("array<string>").alias("suggestedFixes"),
@@ -1144,8 +1151,8 @@ def _answers(spark, sf_dir) -> DataFrame:
         )
     )
     kind = F.col("conv_id") % 4
-    return first.select(
-        F.col("conv_id").alias("log_id"),
+    return turns.select(
+        (F.col("conv_id") * 16 + F.col("turn")).cast("long").alias("log_id"),
         F.when(kind == 0, F.col("text"))
         .when(kind == 1, document)
         .when(kind == 2, F.concat(F.lit("```json\n"), document, F.lit("\n```")))

@@ -95,6 +95,19 @@ SELECT p_partkey AS rule_id,
 FROM {part}
 """
 
+# One rule for every part; each third rule also tests a regex, each seventh is disabled.
+MANY_RULES_SQL = """
+SELECT p_partkey AS rule_id, 'part rule ' || CAST(p_partkey AS STRING) AS name, p_partkey % 7 <> 3 AS is_enabled,
+       CAST(p_size AS INT) AS priority, CAST(NULL AS STRING) AS tool_kind,
+       CASE p_partkey % 6 WHEN 0 THEN 'CS0103' WHEN 1 THEN 'ts2304' WHEN 2 THEN 'NameError' WHEN 3 THEN 'ERESOLVE' WHEN 4 THEN 'TS2322' ELSE NULL END AS code,
+       CASE WHEN p_partkey % 4 = 1 THEN 'Error' ELSE NULL END AS severity, CAST(NULL AS STRING) AS category,
+       CASE WHEN p_partkey % 3 = 2 THEN 'n' ELSE NULL END AS message_regex, CAST(NULL AS STRING) AS file_path_regex,
+       CAST(NULL AS STRING) AS fingerprint, 'PROJ' || CAST(p_partkey % 9 AS STRING) AS project_name,
+       CASE WHEN p_partkey % 5 = 0 THEN 'repoO' ELSE NULL END AS repository, p_name AS title, CAST(NULL AS STRING) AS explanation,
+       CAST(NULL AS STRING) AS suggested_fix, 0.01 AS confidence_adjustment, false AS mark_primary
+FROM {part}
+"""
+
 _OVERSIZE: dict[tuple[str, str], bool] = {}
 
 
@@ -159,6 +172,10 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_columns(spark.sql(DRAFTS_SQL, part=table(spark, sf_dir, "part")))
 
 
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_columns(spark.sql(MANY_RULES_SQL, part=table(spark, sf_dir, "part")))
+
+
 def rule_columns(flat: DataFrame) -> DataFrame:
     extra = {
         "suggested_fixes": F.array_compact(F.array("suggested_fix")),

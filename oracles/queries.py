@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from faultlines import constants as C
-from faultlines.sources.fixtures import DRAFTS_SQL
+from faultlines.sources.fixtures import DRAFTS_SQL, MANY_RULES_SQL
 from oracles.base import (
     CTES, _alias, _ordered_distinct, apps_sql, build, by_text, case, collapse, cte, detection_sql, normalize_dotnet,
     normalize_js, normalize_python, normalize_tsc, nz, parser_sql, patterns_sql, q, rx, slashes, str_list, sub, trim,
@@ -208,6 +208,18 @@ oracle(
 oracle("rul_list", "SELECT rule_id, name, priority, match_count FROM drafts WHERE is_enabled AND lower(tag) = 'brand#2' ORDER BY priority DESC, match_count DESC, name, rule_id LIMIT 20 OFFSET 10")
 oracle("rul_list_count", "SELECT count(*) AS total FROM drafts WHERE NOT is_enabled AND tool_kind = 'dotnet'")
 oracle("rul_enabled", "SELECT tool_detected, logs, rule_id, priority FROM (SELECT tool_detected, count(*) AS logs FROM det GROUP BY 1) JOIN rules ON is_enabled AND (tool_kind IS NULL OR tool_kind = tool_detected)")
+oracle(
+    "rul_match_many",
+    f"""SELECT m.rule_id, count(*) AS hits, count(DISTINCT d.log_id) AS logs FROM ({MANY_RULES_SQL.replace("{part}", "part")}) m JOIN diags d
+      ON lower(m.project_name) = lower(d.project_name) AND (m.code IS NULL OR lower(m.code) = lower(d.code)) AND (m.severity IS NULL OR m.severity = d.severity)
+      AND (m.repository IS NULL OR lower(m.repository) = lower(d.repository)) AND (m.message_regex IS NULL OR contains(lower(coalesce(d.normalized_message, d.message)), m.message_regex))
+      WHERE m.is_enabled GROUP BY m.rule_id""",
+)
+oracle(
+    "rul_regex",
+    """SELECT page_id AS rule_id, 'conditions.messageRegex' AS field, 'The regex pattern is invalid.' AS message FROM pages WHERE page_id % 2 = 1
+      UNION ALL SELECT page_id, 'conditions.filePathRegex', 'The regex pattern is invalid.' FROM pages WHERE page_id % 3 = 0""",
+)
 oracle("rul_match_diag", "SELECT log_id, rule_id, target_id, fingerprint FROM apps WHERE target_type = 'diagnostic'")
 oracle("rul_match_group", "SELECT log_id, rule_id, target_id, fingerprint FROM apps WHERE target_type = 'group'")
 oracle("rul_scope", f"SELECT p.log_id, r.rule_id FROM logs p JOIN rules r ON (r.project_name IS NOT NULL OR r.repository IS NOT NULL) AND {_scope}")
@@ -330,7 +342,7 @@ oracle("nar_get", "SELECT log_id AS analysis_id, tool_detected, narrative_summar
 cte(
     "doc_narr",
     """SELECT doc_id AS analysis_id, text AS summary, CASE WHEN doc_id % 2 = 0 THEN 'deterministic' ELSE 'ai' END AS source_kind, ['DotNet', 'Npm', 'Vite'][doc_id % 3 + 1] AS tool,
-      source AS project_name, lang AS repository, o_orderdate AS created_at, CASE WHEN doc_id % 2 = 1 THEN 'local' END AS provider FROM documents JOIN orders ON doc_id = o_orderkey""",
+      source AS project_name, lang AS repository, o_orderdate AS created_at, CASE WHEN doc_id % 2 = 1 THEN 'local' END AS provider FROM documents LEFT JOIN orders ON doc_id = o_orderkey""",
 )
 oracle("nar_history", f"SELECT analysis_id, project_name, repository, {ts('created_at')} AS created FROM doc_narr WHERE tool = 'Npm' AND source_kind = 'ai' ORDER BY created_at DESC, analysis_id LIMIT 50")
 
@@ -349,7 +361,7 @@ oracle(
         array_to_string(list_filter([CASE WHEN s THEN 'summary' END, CASE WHEN p THEN 'projectName' END, CASE WHEN r THEN 'repository' END, CASE WHEN v THEN 'provider' END], lambda x: x IS NOT NULL), ' | ') AS fields,
         CASE WHEN s THEN summary WHEN p THEN project_name WHEN r THEN repository ELSE provider END AS hit FROM (
         SELECT * FROM (SELECT *, contains(lower(summary), 'en') AS s, contains(lower(project_name), 'en') AS p, contains(lower(repository), 'en') AS r, coalesce(contains(provider, 'en'), false) AS v FROM doc_narr)
-        WHERE s OR p OR r OR v ORDER BY created_at DESC, analysis_id LIMIT 250)) ORDER BY score DESC, created_at DESC, analysis_id LIMIT 50""",
+        WHERE s OR p OR r OR v)) ORDER BY score DESC, created_at DESC, analysis_id LIMIT 50""",
 )
 oracle("nar_snippet", f"SELECT doc_id, {snippet_sql('text', 'the')} AS snippet FROM documents")
 
@@ -504,8 +516,8 @@ oracle("str_extract", "SELECT log_id, diagnostic_id, code, category, fingerprint
 _joined = r"array_to_string(list_filter(list_transform(string_split(replace({}, chr(13), ''), chr(10)), lambda x: " + trim("x") + r"), lambda x: x <> ''), ' ')"
 cte(
     "answers",
-    f"""SELECT conv_id AS log_id, k, CASE WHEN k = 3 THEN '' ELSE {_joined.format('text')} END AS text, k IN (1, 2) AS lists, {trim("left(text, 20)")} AS head, k <> 3 AS readable FROM (
-      SELECT conv_id, conv_id % 4 AS k, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id)""",
+    f"""SELECT conv_id AS log_id, k, CASE WHEN k = 3 THEN '' ELSE {_joined.format('text')} END AS text, k IN (1, 2) AS lists, {trim("text")} AS head, k <> 3 AS readable FROM (
+      SELECT conv_id * 16 + turn AS conv_id, conv_id % 4 AS k, text FROM conversations WHERE role = 'assistant')""",
 )
 _items = "CASE WHEN lists THEN CASE WHEN head = '' THEN ['Check the log.'] ELSE [head, 'Check the log.'] END ELSE [] END"
 oracle("enr_parse", f"SELECT log_id, text, {lst(_items)} AS causes, '' AS fixes, readable FROM answers")
