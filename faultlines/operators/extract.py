@@ -315,6 +315,16 @@ def _stages() -> tuple[list[dict[str, Column]], Column, list[dict[str, Column]],
     return _capture_stages(), record, derived, F.inline_outer(F.array(fields))
 
 
+def recognise_segments(segments: DataFrame) -> DataFrame:
+    """Every segment row with ``parsed`` alone: no templates, categories or hashes are made."""
+    keep = segments.columns
+    captures, record, _, _ = _stages()
+    staged = segments
+    for stage in captures:
+        staged = staged.withColumns(stage)
+    return staged.select(*keep, F.inline_outer(F.array(F.struct(record.isNotNull().alias("parsed")))))
+
+
 def extract_segments(segments: DataFrame) -> DataFrame:
     """Every segment row with its diagnostic fields; ``parsed`` is false where no format matched."""
     keep = segments.columns

@@ -17,7 +17,7 @@ from faultlines.operators.sizing import fits
 from faultlines.sources.logs import parse_tool
 
 INLINE_RULES = 200
-RELATED_SLICE_RULES = 20_000
+SLICE_RULES = 20_000
 
 _TRIGGERS = [
     ("projectName", "project_name"),
@@ -197,9 +197,14 @@ def enabled_rules(rules: DataFrame, tools: DataFrame) -> DataFrame:
 
 def record_matches(rules: DataFrame, applications: DataFrame) -> DataFrame:
     """Counters after a batch of applications(rule_id, applied_at)."""
-    hits = applications.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_n"), F.max("applied_at").alias("_at"))
+    return record_hits(rules, applications.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.max("applied_at").alias("at")))
+
+
+def record_hits(rules: DataFrame, hits: DataFrame) -> DataFrame:
+    """Counters after hits(rule_id, n, at), one row for each rule that was hit."""
+    named = hits.select("rule_id", F.col("n").alias("_n"), F.col("at").alias("_at"))
     return (
-        rules.join(hits, "rule_id", "left")
+        rules.join(named, "rule_id", "left")
         .withColumns(
             {
                 "match_count": F.col("match_count") + F.coalesce(F.col("_n"), F.lit(0)),
@@ -575,7 +580,7 @@ def related_rules(contexts: DataFrame, rules: DataFrame, limit: int = C.RELATED_
         F.desc("score"), F.desc("priority"), F.desc("match_count"), F.col("rule_name"), F.col("rule_id")
     )
     enabled = usable(rules.filter("is_enabled"))
-    parts, slices = [], 1 if fits(enabled, RELATED_SLICE_RULES) else -(-enabled.count() // RELATED_SLICE_RULES)
+    parts, slices = [], 1 if fits(enabled, SLICE_RULES) else -(-enabled.count() // SLICE_RULES)
     for i in range(slices):
         part = enabled if slices == 1 else enabled.filter(F.pmod(F.xxhash64("rule_id"), F.lit(slices)) == i)
         parts.append(

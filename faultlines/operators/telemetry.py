@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultlines.functions.text import blank_to_null, ws_trim
@@ -76,6 +77,25 @@ def fingerprint_counts(events: DataFrame, limit: int) -> DataFrame:
     return counts_by(exploded, F.col("fingerprint"), None, limit)
 
 
+def top_counts(events: DataFrame, fingerprint_limit: int) -> DataFrame:
+    """section, name, count of tools, parsers and the most frequent fingerprints, from one pass over the events."""
+
+    def entry(section: str, name: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), blank_to_null(ws_trim(name)).alias("name"))
+
+    tool = F.coalesce(blank_to_null(ws_trim(F.col("tool_detected"))), F.lit("unknown"))
+    named = F.concat(
+        F.array(entry("tool", tool), entry("parser", F.col("parser"))),
+        F.transform(F.coalesce("fingerprints", F.array().cast("array<string>")), lambda f: entry("fingerprint", f)),
+    )
+    counted = events.select(F.explode(named).alias("e")).select("e.*").filter(F.col("name").isNotNull()).groupBy("section", "name").agg(
+        F.count(F.lit(1)).alias("count")
+    )
+    order = W.partitionBy("section").orderBy(F.desc("count"), F.lower("name"), "name")
+    kept = (F.col("section") != "fingerprint") | (F.col("position") <= fingerprint_limit)
+    return counted.withColumn("position", F.row_number().over(order)).filter(kept).drop("position")
+
+
 def metric_tags(events: DataFrame) -> DataFrame:
     """Counts and durations by tool, input type and parser, with sub-totals per tool and in total."""
 
@@ -115,3 +135,17 @@ def http_totals(accesses: DataFrame) -> DataFrame:
     return named.groupBy("section", "name").agg(
         F.count(F.lit(1)).alias("count"), F.avg("duration_ms").alias("average_duration_ms")
     )
+
+
+def http_summary(accesses: DataFrame, routes: int) -> DataFrame:
+    """``http_totals`` in order within each section, at most max(5, routes) routes, and one row for all requests."""
+    sections = http_totals(accesses)
+    order = W.partitionBy("section").orderBy(F.desc("count"), F.lower("name"), "name")
+    total = accesses.agg(F.count(F.lit(1)).alias("count"), F.avg(_duration()).alias("average_duration_ms")).select(
+        F.lit("all").alias("section"), F.lit("requests").alias("name"), "count", "average_duration_ms"
+    )
+    return (
+        sections.unionByName(total)
+        .withColumn("position", F.row_number().over(order))
+        .filter((F.col("section") != "route") | (F.col("position") <= max(5, routes)))
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlines.operators import narrative, rules as R
 from faultlines.operators.detect import detect_tool, select_parser
-from faultlines.operators.extract import extract_segments
+from faultlines.operators.extract import extract_segments, recognise_segments
 from faultlines.operators.group import LOG_FIELDS, group_rows, groups
 from faultlines.operators.rank import candidates
 from faultlines.operators.segment import explode_segments, segment_logs
@@ -24,6 +24,11 @@ def extracted(logs: DataFrame) -> DataFrame:
     return extract_segments(explode_segments(segment_logs(selected(logs))))
 
 
+def recognised(logs: DataFrame) -> DataFrame:
+    """Segment rows with ``parsed`` only, for counts and for what no format fits."""
+    return recognise_segments(explode_segments(segment_logs(selected(logs))))
+
+
 def ranked(segment_rows: DataFrame) -> DataFrame:
     """Candidates of every log, before rules."""
     return candidates(groups(group_rows(segment_rows)))

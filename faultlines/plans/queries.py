@@ -97,11 +97,9 @@ def src_logs(spark, sf_dir):
 
 @query
 def src_validate(spark, sf_dir):
-    too_long = X.oversize(spark, sf_dir).select(
-        "log_id", F.lit("content").alias("field"),
-        F.lit(f"Content must be {C.MAX_CONTENT_CHARS} characters or fewer.").alias("message"),
-    )
-    return S.request_errors(X.requests(spark, sf_dir)).unionByName(too_long)
+    """All violations of all requests; over-long logs are judged without their content, by everything else they say."""
+    asked = X.requests(spark, sf_dir).withColumn("too_long", F.lit(False))
+    return S.request_errors(asked.unionByName(X.oversize_requests(spark, sf_dir)))
 
 
 @query
@@ -239,12 +237,12 @@ def seg_whole(spark, sf_dir):
 
 @query
 def seg_unparsed(spark, sf_dir):
-    return unparsed(_segments(spark, sf_dir))
+    return unparsed(analysis.recognised(X.logs(spark, sf_dir)))
 
 
 @query
 def seg_stats(spark, sf_dir):
-    return segment_stats(_segments(spark, sf_dir))
+    return segment_stats(analysis.recognised(X.logs(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- extraction
@@ -1108,16 +1106,7 @@ def tel_analysis(spark, sf_dir):
 @query
 def tel_top(spark, sf_dir):
     events = _events(spark, sf_dir)
-    parts = {
-        "tool": TM.counts_by(events, F.col("tool_detected")),
-        "parser": TM.counts_by(events, F.col("parser"), None),
-        "fingerprint": TM.fingerprint_counts(events, 15),
-    }
-    result = None
-    for name, part in parts.items():
-        named = part.select(F.lit(name).alias("section"), "name", "count")
-        result = named if result is None else result.unionByName(named)
-    return result
+    return TM.top_counts(events, 15)
 
 
 @query
@@ -1125,15 +1114,24 @@ def tel_metric_tags(spark, sf_dir):
     return TM.metric_tags(_events(spark, sf_dir))
 
 
-@query
-def tel_http(spark, sf_dir):
+def _accesses(spark, sf_dir) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    accesses = X.table(spark, sf_dir, "events").select(
+    return X.table(spark, sf_dir, "events").select(
         "ts", F.col("event_type").alias("route"),
         F.when(F.col("event_id") % 3 == 0, F.lit("GET")).when(F.col("event_id") % 3 == 1, F.lit("POST")).alias("method"),
         (F.lit(200) + k % 10).alias("status"), F.col("value").alias("duration_ms"),
     )
-    return TM.http_totals(accesses).withColumn("average_duration_ms", F.round("average_duration_ms", 4))
+
+
+@query
+def tel_http(spark, sf_dir):
+    return TM.http_totals(_accesses(spark, sf_dir)).withColumn("average_duration_ms", F.round("average_duration_ms", 4))
+
+
+@query
+def tel_http_summary(spark, sf_dir):
+    rows = TM.http_summary(_accesses(spark, sf_dir), 3)
+    return rows.withColumn("average_duration_ms", F.round("average_duration_ms", 4))
 
 
 # ---------------------------------------------------------------- enrichment
@@ -1230,27 +1228,32 @@ def str_extract(spark, sf_dir):
     base = scratch(spark, "str-extract")
     stream = _stream_input(X.logs(spark, sf_dir), f"{base}/in", "log_id")
     _finish(ST.extract_stream(stream, f"{base}/out", f"{base}/cp"))
-    return spark.read.parquet(f"{base}/out").select("log_id", "diagnostic_id", "code", "category", "fingerprint")
+    return ST.deltas(spark, f"{base}/out").select("log_id", "diagnostic_id", "code", "category", "fingerprint")
+
+
+@query
+def str_candidates(spark, sf_dir):
+    base = scratch(spark, "str-candidates")
+    stream = _stream_input(X.logs(spark, sf_dir), f"{base}/in", "log_id")
+    _finish(ST.candidate_stream(stream, X.rules(spark), f"{base}/out", f"{base}/cp"))
+    return _applied_view(ST.deltas(spark, f"{base}/out"))
 
 
 @query
 def str_patterns(spark, sf_dir):
     base = scratch(spark, "str-patterns")
     rows = history(spark, sf_dir)["candidates"].filter(F.col("fingerprint").isNotNull())
-    stream = _stream_input(rows, f"{base}/in", "log_id")
-    running = ST.pattern_stream(stream, f"{base}/out", f"{base}/cp")
-    _finish(running)
-    return _pattern_view(P.patterns(ST.latest_version(spark, f"{base}/out", running)))
+    _finish(ST.pattern_stream(_stream_input(rows, f"{base}/in", "log_id"), f"{base}/out", f"{base}/cp"))
+    return _pattern_view(P.patterns(ST.pattern_state(spark, f"{base}/out")))
 
 
 @query
 def str_telemetry(spark, sf_dir):
+    """Events in files that hold all times mixed, one file to a batch: every batch has rows late for the one before."""
     base = scratch(spark, "str-telemetry")
     events = X.table(spark, sf_dir, "events").select("ts", "event_type", "value")
-    events.repartitionByRange(4, "ts").write.mode("overwrite").parquet(f"{base}/in")
-    # All files in one micro-batch: file order is not time order, and late rows would be dropped.
-    stream = ST.read_stream(spark, f"{base}/in", files_per_batch=1000)
-    _finish(ST.telemetry_stream(stream, f"{base}/out", f"{base}/cp"))
+    events.repartition(6, "value").write.mode("overwrite").parquet(f"{base}/in")
+    _finish(ST.telemetry_stream(ST.read_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/cp"))
     return ST.telemetry_table(spark, f"{base}/out").select(
         ts("window_start").alias("window_start"), "event_type", "count", F.round("total", 4).alias("total")
     )
@@ -1260,8 +1263,7 @@ def str_telemetry(spark, sf_dir):
 def str_rule_hits(spark, sf_dir):
     base = scratch(spark, "str-rules")
     stream = _stream_input(history(spark, sf_dir)["rule_matches"], f"{base}/in", "analysis_id")
-    running = ST.rule_hit_stream(stream, X.rules(spark), f"{base}/out", f"{base}/cp")
-    _finish(running)
-    return ST.latest_version(spark, f"{base}/out", running).select(
+    _finish(ST.rule_hit_stream(stream, f"{base}/out", f"{base}/cp"))
+    return ST.rule_hits(spark, X.rules(spark), f"{base}/out").select(
         "rule_id", "match_count", ts("last_matched_at").alias("last_matched")
     )

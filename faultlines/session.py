@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,14 +47,19 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only a session without that setting
-    (tests, local runs) gets a local folder."""
+    """The folder all executors share, from spark.checkpoint.dir. Without that setting a local master gets a temporary
+    folder, removed when Python ends, and any other master an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = os.environ.get("FAULTLINES_SHARED_DIR") or tempfile.mkdtemp(prefix="faultlines-")
+        given = os.environ.get("FAULTLINES_SHARED_DIR")
+        _LOCAL_FOLDERS[app] = given or tempfile.mkdtemp(prefix="faultlines-")
+        if not given:
+            atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
     return _LOCAL_FOLDERS[app]

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlines.operators.sizing import broadcast_if_small, fits
+from faultlines import constants as C
+from faultlines.operators.sizing import fits
 from faultlines.sources.logs import join_chunks, oversize_logs
 
-# Shortest text a chunk of the fixture can have ("step 1 ok").
-SHORTEST_CHUNK = 9
+# No chunk of the fixture is longer: fixed text of fewer than 200 characters and at most six numbers or names.
+LONGEST_CHUNK = 400
 
 CHUNKS_SQL = """
 WITH src AS (
@@ -108,7 +109,7 @@ SELECT p_partkey AS rule_id, 'part rule ' || CAST(p_partkey AS STRING) AS name,
 FROM {part}
 """
 
-_OVERSIZE: dict[tuple[str, str], bool] = {}
+_OVERSIZE: dict[tuple[str, str, int], bool] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,28 +120,32 @@ def _keyed(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(F.col("l_orderkey").alias("log_id"))
 
 
-def oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oversize_logs(_keyed(table(spark, sf_dir, "lineitem")), F.lit(SHORTEST_CHUNK))
+def oversize(spark: SparkSession, sf_dir: str, max_chars: int = C.MAX_CONTENT_CHARS) -> DataFrame:
+    """Ids of the logs with more than ``max_chars`` characters, exactly. Only logs with chunks enough to get there are
+    measured."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    possible = oversize_logs(_keyed(lineitem), F.lit(LONGEST_CHUNK), max_chars)
+    suspects = lineitem.join(possible.withColumnRenamed("log_id", "l_orderkey"), "l_orderkey", "left_semi")
+    return oversize_logs(spark.sql(CHUNKS_SQL, lineitem=suspects), F.length("chunk"), max_chars)
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, max_chars: int = C.MAX_CONTENT_CHARS) -> DataFrame:
     """Chunks of all logs within the size limit.
 
-    Whether any log is over the limit is asked once per session and folder; usually none is, and
+    Whether any log is over the limit is asked once per session, folder and limit; usually none is, and
     then no join is planned.
     """
     lineitem = table(spark, sf_dir, "lineitem")
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, max_chars)
     if key not in _OVERSIZE:
-        _OVERSIZE[key] = not fits(oversize(spark, sf_dir), 0)
+        _OVERSIZE[key] = not fits(oversize(spark, sf_dir, max_chars), 0)
     if _OVERSIZE[key]:
-        too_long = broadcast_if_small(oversize(spark, sf_dir).withColumnRenamed("log_id", "l_orderkey"))
+        too_long = oversize(spark, sf_dir, max_chars).withColumnRenamed("log_id", "l_orderkey")
         lineitem = lineitem.join(too_long, "l_orderkey", "left_anti")
     return spark.sql(CHUNKS_SQL, lineitem=lineitem)
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assembled = join_chunks(chunks(spark, sf_dir))
+def _submitted(spark: SparkSession, sf_dir: str, assembled: DataFrame) -> DataFrame:
     meta = META_SQL.replace("SELECT l.log_id,", "SELECT l.log_id, l.content,")
     return spark.sql(meta, logs=assembled, orders=table(spark, sf_dir, "orders")).withColumns(
         {
@@ -150,9 +155,25 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logs(spark: SparkSession, sf_dir: str, max_chars: int = C.MAX_CONTENT_CHARS) -> DataFrame:
+    """Logs of at most ``max_chars`` characters; the others are those of ``oversize``, see ``oversize_requests``."""
+    return _submitted(spark, sf_dir, join_chunks(chunks(spark, sf_dir, max_chars)))
+
+
+def oversize_requests(spark: SparkSession, sf_dir: str, max_chars: int = C.MAX_CONTENT_CHARS) -> DataFrame:
+    """Submissions of the over-long logs, without content and flagged ``too_long``; one whose content was blanked by a
+    fault is blank and no longer over-long."""
+    ids = oversize(spark, sf_dir, max_chars).withColumn("content", F.lit(None).cast("string"))
+    return _faulty(_submitted(spark, sf_dir, ids)).withColumn("too_long", F.col("content").isNull())
+
+
+def requests(spark: SparkSession, sf_dir: str, max_chars: int = C.MAX_CONTENT_CHARS) -> DataFrame:
     """Log submissions with faults: blank content, unknown tools, raw storage without persistence."""
-    return logs(spark, sf_dir).withColumns(
+    return _faulty(logs(spark, sf_dir, max_chars))
+
+
+def _faulty(submitted: DataFrame) -> DataFrame:
+    return submitted.withColumns(
         {
             "content": F.when(F.col("log_id") % 19 == 4, F.lit(" \n ")).otherwise(F.col("content")),
             "tool_hint": F.when(F.col("log_id") % 17 == 3, F.lit("cobol"))

@@ -48,10 +48,10 @@ def read_log_table(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def oversize_logs(chunks: DataFrame, chunk_length: Column, max_chars: int = C.MAX_CONTENT_CHARS) -> DataFrame:
-    """Ids of logs that are certainly over the size limit, from a partial aggregation of lengths.
+    """Ids of logs over the size limit, from a partial aggregation of their chunks' lengths.
 
-    ``chunk_length`` may be a lower bound. Such logs are rejected by the request check anyway, so they
-    are taken out before any step that brings all chunks of one log together.
+    The limit is exact: it counts what the joined content would have, however it is chunked. Such logs are rejected
+    by the request check, so they are taken out before any step that brings all chunks of one log together.
     """
     total = F.sum(chunk_length) + F.count(F.lit(1)) - 1
     return chunks.groupBy("log_id").agg(total.alias("min_chars")).filter(F.col("min_chars") > max_chars).select("log_id")
@@ -81,8 +81,8 @@ def request_errors(requests: DataFrame) -> DataFrame:
     content, tool = F.col("content"), F.col("tool_hint")
     checks = F.array_compact(
         F.array(
-            F.when(is_blank(content), _error("content", "Content is required.")).when(
-                longer_than(content, C.MAX_CONTENT_CHARS),
+            F.when(is_blank(content) & ~_too_long(requests), _error("content", "Content is required.")).when(
+                _too_long(requests),
                 _error("content", f"Content must be {C.MAX_CONTENT_CHARS} characters or fewer."),
             ),
             F.when(
@@ -98,6 +98,12 @@ def request_errors(requests: DataFrame) -> DataFrame:
     return requests.select("log_id", F.explode(checks).alias("e")).select("log_id", "e.field", "e.message")
 
 
+def _too_long(requests: DataFrame) -> Column:
+    """Over the limit by content, or by the flag of a log whose content was never assembled."""
+    flagged = F.coalesce("too_long", F.lit(False)) if "too_long" in requests.columns else F.lit(False)
+    return flagged | F.coalesce(longer_than(F.col("content"), C.MAX_CONTENT_CHARS), F.lit(False))
+
+
 def _error(field: str, message: str) -> Column:
     return F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"))
 
@@ -107,7 +113,7 @@ def accepted(requests: DataFrame) -> DataFrame:
     content, tool = F.col("content"), F.col("tool_hint")
     return requests.filter(
         ~is_blank(content)
-        & ~longer_than(content, C.MAX_CONTENT_CHARS)
+        & ~_too_long(requests)
         & (is_blank(tool) | parse_tool(tool).isNotNull())
         & ~(F.coalesce(F.col("store_raw"), F.lit(False)) & ~F.coalesce(F.col("persist"), F.lit(False)))
     )

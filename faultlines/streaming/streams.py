@@ -1,24 +1,25 @@
 """Streaming forms.
 
-Per-log steps run in ``foreachBatch``, so a micro-batch reuses the batch code. Running tables are written
-as one version per epoch: version n is made from version n - 1 and the batch, so a replayed epoch writes
-the same version again and nothing is counted twice.
+Per-log steps run in ``foreachBatch``, so a micro-batch reuses the batch code. Running tables are kept as one delta for
+each epoch, the associative fold of its rows: an epoch that is replayed writes its delta again, so nothing is counted
+twice, and a batch costs what it holds, not what went before. Readers fold the deltas; ``compacted`` writes the fold
+of all closed epochs to another folder, for readers of a long history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultlines.operators.extract import diagnostics
-from faultlines.operators.patterns import fold_patterns, merge_patterns, pattern_rows
-from faultlines.operators.rules import record_matches
+from faultlines.operators.patterns import fold_patterns, pattern_rows
+from faultlines.operators.rules import record_hits
 from faultlines.plans import analysis
 
-WINDOW, LATENESS = "1 day", "1 hour"
+WINDOW = "1 day"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -26,85 +27,68 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _start(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def extract_stream(logs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Arriving logs -> diagnostics, one folder per epoch."""
+def delta_stream(stream: DataFrame, out: str, checkpoint: str, fold: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Writes ``fold`` of every micro-batch to a folder of its epoch."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        found = diagnostics(analysis.extracted(batch))
-        found.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        fold(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    return _start(logs, checkpoint, each)
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _version(out: str, epoch: int) -> str:
-    return f"{out}/v{epoch:09d}"
+def deltas(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all epochs written so far, whoever wrote them and however often the stream was started."""
+    return spark.read.parquet(out).drop("epoch")
 
 
-def _running(out: str, first: DataFrame | None, step: Callable[[DataFrame | None, DataFrame], DataFrame]):
-    def each(batch: DataFrame, epoch: int) -> None:
-        before = first if epoch == 0 else batch.sparkSession.read.parquet(_version(out, epoch - 1))
-        step(before, batch).write.mode("overwrite").parquet(_version(out, epoch))
+def compacted(spark: SparkSession, out: str, target: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Writes the fold of all deltas to ``target`` and reads it back; ``fold`` merges deltas."""
+    fold(deltas(spark, out)).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
 
-    return each
+def extract_stream(logs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Arriving logs -> diagnostics."""
+    return delta_stream(logs, out, checkpoint, lambda batch: diagnostics(analysis.extracted(batch)))
 
 
-def latest_version(spark: SparkSession, out: str, query: StreamingQuery) -> DataFrame:
-    return spark.read.parquet(_version(out, query.lastProgress["batchId"]))
+def candidate_stream(logs: DataFrame, rules: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Arriving logs -> ranked candidates after rules."""
+    return delta_stream(logs, out, checkpoint, lambda batch: analysis.applied(analysis.extracted(batch), rules))
 
 
 def pattern_stream(candidates: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Arriving candidates -> running pattern state."""
+    """Arriving candidates -> pattern deltas; ``pattern_state`` folds them."""
+    return delta_stream(candidates, out, checkpoint, lambda batch: fold_patterns(pattern_rows(batch)))
 
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        delta = fold_patterns(pattern_rows(batch))
-        return delta if before is None else merge_patterns(before, delta)
 
-    return _start(candidates, checkpoint, _running(out, None, step))
+def pattern_state(spark: SparkSession, out: str) -> DataFrame:
+    return fold_patterns(deltas(spark, out))
 
 
-def rule_hit_stream(applications: DataFrame, rules: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Arriving rule applications -> running match counters of the rules."""
-    return _start(applications, checkpoint, _running(out, rules, record_matches))
+def _hits(times: Column, counts: Column) -> list[Column]:
+    return [F.sum(counts).alias("n"), F.max(times).alias("at")]
 
 
-def telemetry_stream(events: DataFrame, out: str, checkpoint: str, by: str = "event_type") -> StreamingQuery:
-    """Counts per tumbling window; the watermark bounds the state, later rows are dropped.
+def rule_hit_stream(applications: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Arriving rule applications -> hits of each rule; ``rule_hits`` adds them to the rules as they are when read."""
+    return delta_stream(applications, out, checkpoint, lambda batch: batch.groupBy("rule_id").agg(*_hits(F.col("applied_at"), F.lit(1))))
 
-    Update mode: every epoch holds the changed windows; ``telemetry_table`` takes the last per window.
-    """
-    counted = (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", LATENESS)
-        .groupBy(F.window("ts", WINDOW), by)
-        .agg(F.count(F.lit(1)).alias("count"), F.sum("value").alias("total"))
-    )
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        flat = batch.select(F.col("window.start").alias("window_start"), by, "count", "total")
-        flat.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+def rule_hits(spark: SparkSession, rules: DataFrame, out: str) -> DataFrame:
+    return record_hits(rules, deltas(spark, out).groupBy("rule_id").agg(*_hits(F.col("at"), F.col("n"))))
+
+
+def telemetry_stream(events: DataFrame, out: str, checkpoint: str, by: str = "event_type") -> StreamingQuery:
+    """Counts per tumbling window. No watermark: a late row is one more in its window's delta, so none is lost and no
+    state is held between batches."""
+
+    def fold(batch: DataFrame) -> DataFrame:
+        start = F.window(F.col("ts").cast("timestamp"), WINDOW)["start"].alias("window_start")
+        return batch.groupBy(start, by).agg(F.count(F.lit(1)).alias("count"), F.sum("value").alias("total"))
 
-    return (
-        counted.writeStream.outputMode("update")
-        .foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return delta_stream(events, out, checkpoint, fold)
 
 
 def telemetry_table(spark: SparkSession, out: str, by: str = "event_type") -> DataFrame:
-    last = F.max(F.struct("epoch", "count", "total")).alias("last")
-    return (
-        spark.read.parquet(out).groupBy("window_start", by).agg(last).select(
-            "window_start", by, F.col("last.count").alias("count"), F.col("last.total").alias("total")
-        )
-    )
+    return deltas(spark, out).groupBy("window_start", by).agg(F.sum("count").alias("count"), F.sum("total").alias("total"))

@@ -509,6 +509,15 @@ oracle(
     """SELECT 'method' AS section, coalesce(method, 'unknown') AS name, count(*) AS count, round(avg(dur), 4) AS average_duration_ms FROM acc GROUP BY 2
       UNION ALL SELECT 'route', route, count(*), round(avg(dur), 4) FROM acc GROUP BY 2 UNION ALL SELECT 'status', coalesce(CAST(status AS VARCHAR), 'unknown'), count(*), round(avg(dur), 4) FROM acc GROUP BY 2""",
 )
+oracle(
+    "tel_http_summary",
+    """SELECT section, name, count, average_duration_ms, CAST(position AS INT) AS position FROM (
+      SELECT *, row_number() OVER (PARTITION BY section ORDER BY count DESC, lower(name), name) AS position FROM (
+        SELECT 'method' AS section, coalesce(method, 'unknown') AS name, count(*) AS count, round(avg(dur), 4) AS average_duration_ms FROM acc GROUP BY 2
+        UNION ALL SELECT 'route', route, count(*), round(avg(dur), 4) FROM acc GROUP BY 2 UNION ALL SELECT 'status', coalesce(CAST(status AS VARCHAR), 'unknown'), count(*), round(avg(dur), 4) FROM acc GROUP BY 2
+        UNION ALL SELECT 'all', 'requests', count(*), round(avg(dur), 4) FROM acc)) WHERE section <> 'route' OR position <= 5""",
+)
+ORACLES["str_candidates"] = ORACLES["rul_apply"]
 oracle("str_telemetry", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS count, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 oracle("str_extract", "SELECT log_id, diagnostic_id, code, category, fingerprint FROM diags")
 
