@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from faultlines.llm.common import bounded_batches
+
 # In these texts, Python's lower case and white space are those of the vocabulary's normaliser, and NFC changes nothing.
 _PLAIN = re.compile("[\t-\r\x20-~\xa0-įı-ɏ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-ɏ]+")
@@ -219,7 +221,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([piece.column(0), lists], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -257,4 +259,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

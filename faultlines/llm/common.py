@@ -41,6 +41,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 2500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """df, after Arrow batches of the session were bounded to ``rows``: whole texts are long rows, and a worker holds a
+    batch of them at once."""
+    spark = df.sparkSession
+    now = int(spark.conf.get(_ROWS, "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set(_ROWS, str(rows))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

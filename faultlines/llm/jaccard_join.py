@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlines.llm.common import buckets_of, mix, parts_for, slices, stored
+from faultlines.llm.common import bounded_batches, buckets_of, mix, parts_for, slices, stored
 from faultlines.llm.components import components
 from faultlines.llm.shingles import sets
 
 KEY_BYTES = 12
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 BLOCK = 2048
 HELD_KEYS = 1_500_000
 
@@ -272,7 +272,7 @@ def _tile_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def join(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_shingles, component_id). Two rows link when den * intersection >= num * union."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sizes = stored(_sizes(docs, size), "jaccard-sizes")
     total = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("largest")).first()
     low = bands(total.largest or 1, num, den)

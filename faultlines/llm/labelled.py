@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlines.llm.common import slices, stored
+from faultlines.llm.common import bounded_batches, slices, stored
 from faultlines.llm.shingles import sets
 
 SAMPLE_ROWS = 20_000
@@ -29,7 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
         labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)")
         .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
     )
-    found = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
+    found = bounded_batches(docs).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

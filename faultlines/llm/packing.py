@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlines.llm import bpe
-from faultlines.llm.common import stored
+from faultlines.llm.common import bounded_batches, stored
 
 BIN = 64
 DEPTH = 3
@@ -229,7 +229,7 @@ def _pieces(held: DataFrame, slots: list[tuple], planned: int, full: int, window
 
 def pack(docs: DataFrame, path: str, end_id: int, window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, checksum of its ids, tokens of its document, sequence, offset there."""
-    held = stored(_encoded(docs, path, end_id, window, id_col, text_col), "pack-ids")
+    held = stored(_encoded(bounded_batches(docs), path, end_id, window, id_col, text_col), "pack-ids")
     counts = held.groupBy("bin").agg(
         F.count("*").alias("n"), F.sum("rest").alias("rest"), F.sum(F.expr(f"tokens div {window}")).alias("full")
     ).collect()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from faultlines.llm import labelled
-from faultlines.llm.common import mix, slices, text_values
+from faultlines.llm.common import bounded_batches, mix, slices, text_values
 from faultlines.llm.shingles import shingles
 
 WORDS = 4096
@@ -183,4 +183,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for piece in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own.score(piece.column(1)))], [id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, schema)

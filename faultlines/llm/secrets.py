@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultlines.llm.common import bounded_batches
+
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII
 )
@@ -170,7 +172,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 spans = [[dict(zip(("kind", "start", "end"), s)) for s in spans_of(t or "")] for t in piece.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(spans, kind)], [id_col, "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -187,7 +189,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
                 columns[where] = pa.array(texts, piece.schema.field(where).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def digests(spans: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlines.llm.common import buckets_of, mix, parts_for, text_values
+from faultlines.llm.common import bounded_batches, buckets_of, mix, parts_for, text_values
 
 PART_BYTES = 8 << 20
 CHUNK = 1 << 20
@@ -401,6 +401,7 @@ def _whole_characters(flat: np.ndarray, gone: np.ndarray) -> np.ndarray:
 def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept, the remaining text
     as whole characters (a character of which only some bytes are covered stays). Columns named in carry are handed on."""
+    docs = bounded_batches(docs)
     carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
     types = [docs.schema[c].dataType.simpleString() for c in carry]
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), *carried)

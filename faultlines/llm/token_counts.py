@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
+from faultlines.llm.common import bounded_batches
+
 MARK = "▁"
 KEY_LENGTH = 32
 TABLE = 65_536
@@ -91,7 +93,7 @@ _WORKER: dict[tuple, Lengths] = {}
 def count(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", table: int = TABLE) -> DataFrame:
     """One row per input row: id, bytes, tokens, and whether the tokens exceed limit."""
     model = SentencePieceProcessor(model_file=path)
-    keys = frequent(docs, text_col, table)
+    keys = frequent(bounded_batches(docs), text_col, table)
     run_id = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast({k: len(model.encode(k)) for k in keys if k})
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"

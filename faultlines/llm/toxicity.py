@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlines.llm import labelled
+from faultlines.llm.common import bounded_batches
 
 INSULTS = frozenset("idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb ugly garbage".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta vous votre tú ti usted vosotros".split())
@@ -228,7 +229,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 x = np.array([features(t or "", own.lexicon) for t in piece.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own.score(x))], [id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -245,4 +246,4 @@ def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "t
                 x = np.array([features(t or "", own.lexicon) for t in piece.column(where).to_pylist()])
                 yield piece.filter(pa.array(own.score(x) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
