@@ -29,7 +29,7 @@ from faultlines.llm.common import bounded_batches
 INSULTS = frozenset("idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb ugly garbage".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta vous votre tú ti usted vosotros".split())
 TERMS = 3000
-STEM = 5
+STEMS = (5, 4)
 NEAR = 5
 STRETCH = 40
 TREES, DEPTH, RATE, LEAF, BINS = 60, 3, 0.2, 15, 32
@@ -45,7 +45,7 @@ _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 def terms_of(text: str) -> set[str]:
     """Words and word beginnings (with a trailing bar) of a text."""
     words = set(_LETTERS.findall(text.lower()))
-    return words | {w[:STEM] + "|" for w in words if len(w) > STEM}
+    return words | {w[:n] + "|" for n in STEMS for w in words if len(w) > n}
 
 
 def learned_terms(sample: DataFrame, most: int = TERMS) -> dict[str, float]:
@@ -64,7 +64,7 @@ def learned_terms(sample: DataFrame, most: int = TERMS) -> dict[str, float]:
 
     counts = sample.select("text", "y").mapInArrow(run, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = F.col("bad") / (F.col("bad") + F.col("good") + 1)
-    rows = counts.where("bad >= 8").select("term", "bad", share.alias("share")).where("share >= 0.6").orderBy(F.desc("bad"), "term").limit(most).collect()
+    rows = counts.where("bad >= 5").select("term", "bad", share.alias("share")).where("share >= 0.8").orderBy(F.desc("bad"), "term").limit(most).collect()
     return {r.term: r.share for r in rows}
 
 
@@ -77,7 +77,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     get = lexicon.get
     hits, odd_hits, weight = [], 0, 0.0
     for i, w in enumerate(words):
-        v = get(w) or get(w[:STEM] + "|")
+        v = get(w) or next((s for n in STEMS if (s := get(w[:n] + "|"))), None)
         if v is None and not w.isalpha():
             v = get(w.translate(_PLAIN).replace("*", ""))
             odd_hits += v is not None
