@@ -34,6 +34,7 @@ from faultlines.llm.common import bounded_batches, buckets_of, mix, parts_for, t
 
 PART_BYTES = 8 << 20
 CHUNK = 1 << 20
+SORT_BYTES = 2 << 20
 LAST = (1 << 63) - 1
 
 
@@ -84,7 +85,7 @@ def _grams(flat: np.ndarray) -> np.ndarray:
     return np.ndarray((len(flat) - 7,), "<u8", buffer=np.ascontiguousarray(flat), strides=(1,))
 
 
-def _hashed(flat: np.ndarray, size: int) -> np.ndarray:
+def _hashed(flat: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """A hash of the size (8 to 24) bytes from every position."""
     grams = _grams(flat)
     n = len(flat) - size + 1
@@ -96,16 +97,16 @@ def _hashed(flat: np.ndarray, size: int) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(29)
-    return h
+    return mix(h, salt) if salt else h
 
 
-def segments(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(flat: np.ndarray, offsets: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start in flat, windows, anchor) of every segment of the rows; length is at least 16."""
     empty = np.zeros(0, np.int64)
     if len(flat) < length:
         return empty, empty, empty.astype(np.uint64)
     gram = 20 if length >= 40 else 8
-    low, span, left = _hashed(flat, gram), 1, length - gram + 1
+    low, span, left = _hashed(flat, gram, salt), 1, length - gram + 1
     while span < left:
         step = min(span, left - span)
         low = np.minimum(low[:-step], low[step:])
@@ -304,6 +305,66 @@ def least_ids(contents: list[bytes], least: np.ndarray, length: int) -> np.ndarr
     return out[inside]
 
 
+def _distinct(contents: list[bytes], least: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Number of each content among the distinct ones, these, their smallest ids and their anchors."""
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(c, len(known)) for c in contents], np.int64)
+    low, of = np.full(len(known), LAST), np.zeros(len(known), anchor.dtype)
+    np.minimum.at(low, which, least)
+    of[which] = anchor
+    return which, list(known), low, of
+
+
+def windows_least(contents: list[bytes], least: np.ndarray, anchor: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """``least_ids`` of distinct contents, by anchor: equal windows have equal anchors, so anchors are sorted apart, as
+    many at once as make ``SORT_BYTES``. One anchor with more is cut into segments by anchors of another hash first. A
+    segment that is alone with its anchor shares no window with another."""
+    windows = np.array([len(c) for c in contents], np.int64) - length + 1
+    bounds = np.concatenate([[0], np.cumsum(windows)])
+    best = np.repeat(least, windows)
+    order = np.argsort(anchor, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
+
+    def put(chosen: list[int], found: np.ndarray) -> None:
+        at = 0
+        for i in chosen:
+            best[bounds[i] : bounds[i + 1]] = found[at : at + windows[i]]
+            at += windows[i]
+
+    def flush(chosen: list[int]) -> None:
+        if chosen:
+            put(chosen, least_ids([contents[i] for i in chosen], least[chosen], length))
+
+    held: list[int] = []
+    size = 0
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        if b - a < 2:
+            continue
+        own = order[a:b].tolist()
+        more = sum(len(contents[i]) for i in own)
+        if more > SORT_BYTES and salt < 3:
+            put(own, _cut_again([contents[i] for i in own], least[own], length, salt + 1))
+            continue
+        if size + more > SORT_BYTES:
+            flush(held)
+            held, size = [], 0
+        held += own
+        size += more
+    flush(held)
+    return best
+
+
+def _cut_again(contents: list[bytes], least: np.ndarray, length: int, salt: int) -> np.ndarray:
+    raw = b"".join(contents)
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in contents])])
+    start, windows, anchor = segments(np.frombuffer(raw, np.uint8), offsets, length, salt)
+    owner = np.searchsorted(offsets, start, side="right") - 1
+    which, distinct, low, of = _distinct([raw[a : a + n + length - 1] for a, n in zip(start.tolist(), windows.tolist())], least[owner], anchor)
+    found = windows_least(distinct, low, of, length, salt)
+    bounds = np.concatenate([[0], np.cumsum([len(c) - length + 1 for c in distinct])])
+    return np.concatenate([found[bounds[w] : bounds[w + 1]] for w in which.tolist()])
+
+
 def _answers(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
     """(part, kind, blob): for segments of each part, runs of windows and the smallest id that holds them."""
 
@@ -324,23 +385,10 @@ def _answers(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
             return
         anchor, number, low, high, _ = np.concatenate(heads, axis=1)
         part = np.concatenate(parts)
-        known: dict[bytes, int] = {}
-        which = np.array([known.setdefault(c, len(known)) for c in contents], np.int64)
-        distinct = list(known)
-        least = np.full(len(distinct), LAST)
-        np.minimum.at(least, which, low)
-        of = np.zeros(len(distinct), np.int64)
-        of[which] = anchor
-        _, group, count = np.unique(of, return_inverse=True, return_counts=True)
-        windows = np.array([len(c) for c in distinct], np.int64) - length + 1
-        bounds = np.concatenate([[0], np.cumsum(windows)])
-        best = np.repeat(least, windows)
-        # a segment that is alone with its anchor shares no window with another; all others are sorted
-        several = np.flatnonzero(count[group] > 1)
-        if len(several):
-            inside = np.zeros(len(distinct), bool)
-            inside[several] = True
-            best[np.repeat(inside, windows)] = least_ids([distinct[i] for i in several.tolist()], least[several], length)
+        which, distinct, least, of = _distinct(contents, low, anchor)
+        contents.clear()
+        bounds = np.concatenate([[0], np.cumsum([len(c) - length + 1 for c in distinct])])
+        best = windows_least(distinct, least, of, length)
         new = np.ones(len(best), bool)
         new[1:] = best[1:] != best[:-1]
         new[bounds[:-1]] = True
