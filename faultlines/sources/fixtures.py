@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlines import constants as C
+from faultlines.functions.text import utf16_length
 from faultlines.operators.sizing import fits
 from faultlines.sources.logs import join_chunks, oversize_logs
 
@@ -126,7 +127,7 @@ def oversize(spark: SparkSession, sf_dir: str, max_chars: int = C.MAX_CONTENT_CH
     lineitem = table(spark, sf_dir, "lineitem")
     possible = oversize_logs(_keyed(lineitem), F.lit(LONGEST_CHUNK), max_chars)
     suspects = lineitem.join(possible.withColumnRenamed("log_id", "l_orderkey"), "l_orderkey", "left_semi")
-    return oversize_logs(spark.sql(CHUNKS_SQL, lineitem=suspects), F.length("chunk"), max_chars)
+    return oversize_logs(spark.sql(CHUNKS_SQL, lineitem=suspects), utf16_length(F.col("chunk")), max_chars)
 
 
 def chunks(spark: SparkSession, sf_dir: str, max_chars: int = C.MAX_CONTENT_CHARS) -> DataFrame:

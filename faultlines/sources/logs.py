@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultlines import constants as C
-from faultlines.functions.text import is_blank, longer_than, lookup, normalize_newlines, rtrim_lines, ws_trim
+from faultlines.functions.text import is_blank, longer_than, lookup, normalize_newlines, rtrim_lines, utf16_length, ws_trim
 from faultlines.operators.sizing import broadcast_if_small
 
 LOG_SCHEMA = T.StructType(
@@ -50,7 +50,7 @@ def read_log_table(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 def oversize_logs(chunks: DataFrame, chunk_length: Column, max_chars: int = C.MAX_CONTENT_CHARS) -> DataFrame:
     """Ids of logs over the size limit, from a partial aggregation of their chunks' lengths.
 
-    The limit is exact: it counts what the joined content would have, however it is chunked. Such logs are rejected
+    The limit is exact: it counts the UTF-16 units that the joined content would have, however it is chunked. Such logs are rejected
     by the request check, so they are taken out before any step that brings all chunks of one log together.
     """
     total = F.sum(chunk_length) + F.count(F.lit(1)) - 1
@@ -59,7 +59,7 @@ def oversize_logs(chunks: DataFrame, chunk_length: Column, max_chars: int = C.MA
 
 def assemble_logs(chunks: DataFrame, max_chars: int = C.MAX_CONTENT_CHARS) -> DataFrame:
     """chunks(log_id, n, chunk) -> logs(log_id, content); over-long logs are left to ``oversize_logs``."""
-    too_long = broadcast_if_small(oversize_logs(chunks, F.length("chunk"), max_chars))
+    too_long = broadcast_if_small(oversize_logs(chunks, utf16_length(F.col("chunk")), max_chars))
     return join_chunks(chunks.join(too_long, "log_id", "left_anti"))
 
 

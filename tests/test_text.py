@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from faultlines.functions.redact import redact_log, redact_raw
 from faultlines.functions.similarity import tokens
-from faultlines.functions.text import ci_distinct, round_half_up
+from faultlines.functions.text import ci_distinct, round_half_up, utf16_length
 from faultlines.operators import enrich as EN
 from faultlines.operators.history import snippet
 from faultlines.sources import logs as S
-from faultlines.sources.fixtures import SHORTEST_CHUNK
 
 
 def one(spark, value, fn):
@@ -78,7 +77,7 @@ def test_oversize_logs_are_left_out_before_assembly(spark):
     chunks = spark.createDataFrame(small, "log_id long, n int, chunk string").unionByName(
         spark.range(40_000).select(F.lit(2).cast("long").alias("log_id"), F.col("id").cast("int").alias("n"), F.lit("step 1 ok").alias("chunk"))
     )
-    assert [r["log_id"] for r in S.oversize_logs(chunks, F.lit(SHORTEST_CHUNK)).collect()] == [2]
+    assert [r["log_id"] for r in S.oversize_logs(chunks, utf16_length(F.col("chunk"))).collect()] == [2]
     assert [tuple(r) for r in S.assemble_logs(chunks).collect()] == [(1, "abc\nabc\nabc")]
 
 
