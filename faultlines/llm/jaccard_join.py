@@ -32,7 +32,7 @@ from faultlines.llm.shingles import sets
 KEY_BYTES = 12
 PART_BYTES = 12 << 20
 BLOCK = 2048
-HELD_KEYS = 1_500_000
+HELD_KEYS = 600_000
 
 
 def bands(largest: int, num: int, den: int) -> np.ndarray:
