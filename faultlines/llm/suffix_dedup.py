@@ -3,7 +3,8 @@
 A suffix array of a whole large corpus would shuffle many times its size, so it is built where strings can repeat:
 
 0. Copies of a whole text are known by their SHA-256: all but the first are removed entirely (if they have a window at
-   all) and take no part in what follows, as the first has a smaller id.
+   all) and take no part in what follows, as the first has a smaller id. A copy is known by id and digest, so that other
+   rows of its id, or other rows without an id, are no copies.
 1. Each window of ``length`` bytes is assigned to the smallest hash of its 20-byte grams, its anchor. Equal windows have
    equal anchors, wherever they stand. Neighbouring windows of one anchor form a segment. Per part of the corpus, every
    distinct anchor is dealt out once, and the anchors that stand in different texts are sent back to the parts.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,10 +154,9 @@ def _dealt_anchors(parts: DataFrame, copies: DataFrame, length: int, buckets: in
         names, types = ["bucket", "part", "blob"], [pa.int32(), pa.int32(), pa.binary()]
         rows: list[tuple[int, bytes]] = []
         if left.num_rows:
-            copied = _copies_of(right)
             left = left.combine_chunks()
             flat, offsets = text_values(left.column("text"))
-            whole = ~np.isin(left.column("id").to_numpy(), copied)
+            whole = ~_copied(left.column("id").to_numpy(), flat, offsets, _copies_of(right))
             found = []
             for a, b in _chunks(offsets):
                 own = offsets[a : b + 1] - offsets[a]
@@ -209,15 +210,15 @@ def _repeated(dealt: DataFrame, buckets: int) -> DataFrame:
 class _Part:
     """The segments of a part that can repeat elsewhere; equal segments share a number."""
 
-    def __init__(self, table: pa.Table, repeated: np.ndarray, copies: np.ndarray, length: int):
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
-        table = table.take(pa.array(order)).combine_chunks()
+    def __init__(self, table: pa.Table, repeated: np.ndarray, copies: set[tuple[int, bytes]], length: int):
+        # rows come in any order: texts of one id must get the same numbers each time
+        table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")])).combine_chunks()
         self.table = table
         self.ids = table.column("id").to_numpy()
         self.flat, self.offsets = text_values(table.column("text"))
         self.length = length
         repeated = np.sort(repeated)
-        self.copied = np.isin(self.ids, copies)
+        self.copied = _copied(self.ids, self.flat, self.offsets, copies)
         starts, windows, anchors = [], [], []
         if len(repeated):
             for a, b in _chunks(self.offsets):
@@ -245,9 +246,20 @@ def _blob_of(table: pa.Table, kind: int, dtype) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros(0, dtype)
 
 
-def _copies_of(table: pa.Table) -> np.ndarray:
-    rows = [np.array(x, np.int64) for k, x in zip(table.column("kind").to_pylist(), table.column("ids").to_pylist()) if k == 2]
-    return np.concatenate(rows) if rows else np.zeros(0, np.int64)
+def _copies_of(table: pa.Table) -> set[tuple[int, bytes]]:
+    """(id, digest) of the copies."""
+    rows = zip(table.column("kind").to_pylist(), table.column("copies").to_pylist())
+    return {(c["id"], c["digest"]) for k, x in rows if k == 2 for c in x}
+
+
+def _copied(ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray, copies: set[tuple[int, bytes]]) -> np.ndarray:
+    """Which rows are copies; only rows whose id has one are hashed."""
+    out = np.zeros(len(ids), bool)
+    held = np.isin(ids, np.array([i for i, _ in copies], np.int64))
+    for row in np.flatnonzero(held).tolist():
+        digest = hashlib.sha256(np.ascontiguousarray(flat[offsets[row] : offsets[row + 1]])).digest()
+        out[row] = (int(ids[row]), digest) in copies
+    return out
 
 
 def _dealt_segments(parts: DataFrame, repeated: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -458,13 +470,15 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     parts = docs.select(part.alias("part"), "*").repartition(n, "part")
     texts = parts.select("part", "id", "text")
-    digests = docs.select("id", F.sha2("text", 256).alias("digest"))
+    digests = docs.select("id", F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    later = digests.join(firsts, "digest").where("id > first").select(part.alias("part"), "id").distinct()
+    later = digests.join(firsts, "digest").where("id > first").select(part.alias("part"), "id", "digest").distinct()
     none = F.lit(None)
-    copies = later.groupBy("part").agg(F.collect_list("id").alias("ids")).select("part", F.lit(2).alias("kind"), none.cast("binary").alias("blob"), "ids")
-    repeated = _repeated(_dealt_anchors(texts, copies, length, n), n).withColumn("ids", none.cast("array<bigint>"))
-    answers = _answers(_dealt_segments(texts, repeated.union(copies), length, n), length, n).withColumn("ids", none.cast("array<bigint>"))
+    copies = later.groupBy("part").agg(F.collect_list(F.struct("id", "digest")).alias("copies"))
+    copies = copies.select("part", F.lit(2).alias("kind"), none.cast("binary").alias("blob"), "copies")
+    no_copies = none.cast("array<struct<id:bigint,digest:binary>>")
+    repeated = _repeated(_dealt_anchors(texts, copies, length, n), n).withColumn("copies", no_copies)
+    answers = _answers(_dealt_segments(texts, repeated.union(copies), length, n), length, n).withColumn("copies", no_copies)
 
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("kept", pa.string())] if with_text else []

@@ -179,6 +179,21 @@ def test_suffix_dedup(docs, rows, none, clashing, length):
     assert suffix_dedup.dedup(none, length).collect() == [] and suffix_dedup.dedup(clashing, length).count() == 3
 
 
+def test_suffix_dedup_copies_under_a_shared_id(spark):
+    """A copy takes no other text of its id with it, nor other rows without an id, and these stay sources."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (5, c), (5, d), (7, "x " + d), (9, e + " y"), (5, a)]
+    found = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 50, with_text=True).collect()
+    last = 1 << 62
+    want = brute_removed([((i or last) * 100 + k, t) for k, (i, t) in enumerate(rows)], 50)
+    # rows of one id do not remove each other's bytes: the second (None, b) stays
+    expected = [(i, *want[(i or last) * 100 + k][1:]) for k, (i, t) in enumerate(rows) if k != 3]
+    expected.append((None, 0, 0, hashlib.sha256(b.encode()).hexdigest()))
+    key = lambda r: tuple(map(str, r))
+    assert sorted([(r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in found], key=key) == sorted(expected, key=key)
+    assert sum(r.n_removed for r in found if r.doc_id == 7) == len(d)
+
+
 @pytest.mark.parametrize("n,k", [(0, 1), (1, 1), (33, 1), (34, 2), (35, 3), (200, 2), (301, 250), (500, 1)])
 def test_suffix_array(n, k):
     s = np.random.default_rng(n).integers(1, k + 1, n)
