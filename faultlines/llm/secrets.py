@@ -3,7 +3,8 @@
 Base kinds are ``assign``, ``access`` and ``hex``. The confirmation decodes base64 and hexadecimal runs and adds
 
 - ``jwt``: a signed-token triple whose header and payload decode to JSON objects and whose header names ``alg``;
-- ``pem``: an armoured block whose body decodes to a well-nested key encoding;
+- ``pem``: an armoured block whose body decodes to a well-nested key encoding, or whose headers name a cipher and its
+  start value and whose body decodes to whole cipher blocks; line ends may be escaped, as in JSON strings;
 - ``key``: a bare run that decodes to a key: nested DER lengths that fill their parents exactly, or the
   length-prefixed strings of an OpenSSH key;
 - ``wrapped``: a run that decodes to printable ASCII which itself holds an assign or access secret.
@@ -36,10 +37,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key", "wrapped")
 RANK = {k: i for i, k in enumerate(KINDS)}
 
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}")
-_HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){16,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){16,}(?![0-9A-Za-z])")
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?([A-Za-z0-9+/_-]{24,}={0,2})")  # an escaped line end is not part of a run
+_HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9A-Fa-f]{2}){16,})(?![0-9A-Za-z])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY[A-Z0-9 ]*)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY[A-Z0-9 ]*)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+_ESCAPED = re.compile(r"\\+(?:[nrt]|u000[AaDd9])")
+_HEADER = re.compile(
+    r"\s*(?:Proc-Type:[\x20\t]*[0-9]+,[A-Z-]+(?=\s)|DEK-Info:[\x20\t]*([A-Z0-9-]+),([0-9A-Fa-f]+)(?=\s)|[A-Za-z][A-Za-z0-9-]*:[^\r\n]*[\r\n])"
+)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -104,6 +109,20 @@ def is_key(data: bytes) -> bool:
     return len(data) >= 24 and (data.startswith(b"openssh-key-v1\0") or data[:3] == b"\0\0\0") and _ssh(data)
 
 
+def is_armoured(body: str) -> bool:
+    """The body of an armoured block holds a key encoding, or an encrypted one under headers that say how."""
+    body = _ESCAPED.sub("\n", body).replace("\\/", "/")
+    at, cipher = 0, None
+    while m := _HEADER.match(body, at):
+        cipher = m.groups() if m[1] else cipher
+        at = m.end()
+    data = _decode("".join(body[at:].replace("\\", " ").split()))
+    if cipher:
+        size = len(cipher[1]) // 2
+        return len(data) >= 24 and size in (8, 16) and (not cipher[0].endswith("CBC") or len(data) % size == 0)
+    return is_key(data)
+
+
 def is_token(header: str, payload: str) -> bool:
     try:
         head, body = json.loads(_decode(header)), json.loads(_decode(payload))
@@ -125,19 +144,19 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token(m[1], m[2])]
     if "-----BEGIN " in text:
-        found += [("pem", *m.span()) for m in _PEM.finditer(text) if is_key(_decode("".join(m[2].split())))]
+        found += [("pem", *m.span()) for m in _PEM.finditer(text) if is_armoured(m[2])]
     for m in _B64.finditer(text):
-        data = _decode(m[0])
+        data = _decode(m[1])
         if is_key(data):
-            found.append(("key", *m.span()))
+            found.append(("key", *m.span(1)))
         elif _wrapped(data):
-            found.append(("wrapped", *m.span()))
+            found.append(("wrapped", *m.span(1)))
     for m in _HEXRUN.finditer(text):
-        data = bytes.fromhex(m[0])
+        data = bytes.fromhex(m[1])
         if is_key(data):
-            found.append(("key", *m.span()))
+            found.append(("key", *m.span(1)))
         elif _wrapped(data):
-            found.append(("wrapped", *m.span()))
+            found.append(("wrapped", *m.span(1)))
     return found
 
 

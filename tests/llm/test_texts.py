@@ -280,6 +280,31 @@ def test_secret_structure():
     assert not kinds("x " + base64.b64encode(b"only some plain words here").decode() + " y")
 
 
+def armoured(data: bytes, label: str, head: str = "") -> str:
+    b64 = base64.b64encode(data).decode()
+    lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+    return f"-----BEGIN {label}-----\n{head}" + "\n".join(lines) + f"\n-----END {label}-----"
+
+
+def test_secrets_after_names_and_with_escapes_and_headers():
+    b64, kinds = base64.b64encode(KEY).decode(), lambda text: Counter(k for k, _, _ in secrets.confirmed_spans(text))
+    for text in (f"k={b64}", f"PRIVATE_KEY={b64}\n", f"https://h/?k={b64}&x=1", f'"line\\n{b64}\\n"'):
+        assert secrets.confirmed_spans(text) == [("key", text.index(b64), text.index(b64) + len(b64))]
+    for run in (KEY.hex(), KEY.hex().upper(), KEY.hex()[:100] + KEY.hex()[100:].upper()):
+        for text in (f"x 0x{run} y", f"x 0X{run} y", f"k={run}"):
+            assert secrets.confirmed_spans(text) == [("key", text.index(run), text.index(run) + len(run))]
+    pem = armoured(KEY, "PRIVATE KEY")
+    dek = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    cipher = np.random.default_rng(1).integers(0, 256, 160, np.uint8).tobytes()
+    locked = armoured(cipher, "RSA PRIVATE KEY", dek)
+    for block in (pem, locked, armoured(KEY, "RSA PRIVATE KEY", "Comment: mine\nX-Note: a-b\n\n")):
+        for text in (block, block.replace("\n", "\r\n"), block.replace("\n", "\\n"), block.replace("\n", "\\r\\n"), block.replace("\n", "\\\\n"), block.replace("/", "\\/")):
+            assert ("pem", 2, 2 + len(text)) in secrets.confirmed_spans(f"x {text} y"), text
+    assert secrets.redacted('{"private_key": "' + pem.replace("\n", "\\n") + '\\n"}', "#") == '{"private_key": "#\\n"}'
+    assert not kinds(armoured(cipher, "RSA PRIVATE KEY")) and not kinds(armoured(cipher[:-3], "RSA PRIVATE KEY", dek))["pem"]
+    assert not kinds(armoured(b"only some plain words stand here", "PRIVATE KEY"))["pem"]
+
+
 def test_secret_scan(docs, rows, none, clashing):
     found = {r.doc_id: r for r in secrets.digests(secrets.scan(docs)).collect()}
     assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
