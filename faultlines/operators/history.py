@@ -205,19 +205,66 @@ def similar_in_scope(requests: DataFrame, diagnostics: DataFrame, limit: int, sc
     )
 
 
+def _signed(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(request_id, _signature) of every request, and one request for each signature: equal requests have equal answers,
+    but for themselves."""
+    arrays = ["fingerprints", "codes", "categories", "query_tokens"]
+    columns = ["tool_kind", *SCOPE, *[F.sort_array(F.array_distinct(c)).alias(c) for c in arrays]]
+    signed = requests.select(
+        "request_id", F.concat(F.lit("signature:"), F.sha2(F.to_json(F.struct(*columns)), 256)).alias("_signature"), "tool_kind", *SCOPE, *arrays
+    )
+    asked = signed.dropDuplicates(["_signature"]).drop("request_id").withColumnRenamed("_signature", "request_id")
+    return signed.select("request_id", "_signature"), asked
+
+
 def similar_analyses(
     requests: DataFrame, diagnostics: DataFrame, limit: int, scope: list[str] | None = None
 ) -> DataFrame:
     """requests: request_id, tool_kind, fingerprints, codes, categories, query_tokens and scope columns.
 
-    The work is (requests sharing a key) x (distinct messages under the key), so it grows with the number
-    of requests; ``related_analyses`` is the form to run for every analysis at once.
+    The work is (distinct requests sharing a key) x (distinct messages under the key). Each distinct request is answered
+    with one analysis more, so that every request still has ``limit`` without itself.
     """
     if limit <= 0:
         raise ValueError("Limit must be positive.")
+    signed, asked = _signed(requests)
     if scope is not None:
-        return similar_in_scope(requests, diagnostics, limit, scope)
-    return _by_scope(requests, lambda chosen, columns: similar_in_scope(chosen, diagnostics, limit, columns))
+        found = similar_in_scope(asked, diagnostics, limit + 1, scope)
+    else:
+        found = _by_scope(asked, lambda chosen, columns: similar_in_scope(chosen, diagnostics, limit + 1, columns))
+    found = found.withColumnRenamed("request_id", "_signature")
+    ranked = W.partitionBy("request_id").orderBy("position")
+    return (
+        signed.join(found, "_signature")
+        .filter(_another())
+        .withColumn("position", F.row_number().over(ranked))
+        .filter(F.col("position") <= limit)
+        .drop("_signature")
+    )
+
+
+def scored_diagnostics(requests: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Every stored diagnostic with every request that it scores for; equal requests and equal diagnostics are scored
+    once. A request without project or repository is not filtered by it."""
+    signed, asked = _signed(requests)
+    fields = ["tool_kind", "fingerprint", "code", "category", "normalized_message", *SCOPE]
+    stored = diagnostics.select("diagnostic_id", F.sha2(F.to_json(F.struct(*fields)), 256).alias("_stored"), *fields)
+    keyed = (
+        stored.dropDuplicates(["_stored"])
+        .withColumn("own_tokens", tokens(F.col("normalized_message")))
+        .withColumn("key", F.explode(_search_keys(F.array("fingerprint"), F.array("code"))))
+        .drop("diagnostic_id")
+    )
+
+    def pairs(chosen: DataFrame, scope: list[str]) -> DataFrame:
+        left = chosen.withColumn("key", F.explode(_search_keys(F.col("fingerprints"), F.col("codes"))))
+        rest = [c for c in SCOPE if c not in scope]
+        scored = _scored(left.drop(*rest).join(keyed.drop(*rest), ["tool_kind", "key", *scope]))
+        return scored.select(F.col("request_id").alias("_signature"), "_stored", "score", "match_type").distinct()
+
+    return signed.join(_by_scope(asked, pairs), "_signature").join(stored.select("diagnostic_id", "_stored"), "_stored").select(
+        "request_id", "diagnostic_id", "score", "match_type"
+    )
 
 
 # ---------------------------------------------------------------- narratives

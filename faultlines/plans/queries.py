@@ -855,6 +855,29 @@ def sim_search(spark, sf_dir):
     )
 
 
+def _every(h, spark) -> DataFrame:
+    return staged(_reference_requests(h, spark), "requests")
+
+
+@query
+def sim_score_all(spark, sf_dir):
+    """Every stored diagnostic against every analysis."""
+    h = history(spark, sf_dir)
+    return H.scored_diagnostics(_every(h, spark), h["diagnostics"]).select(
+        "request_id", "diagnostic_id", F.round("score", 6).alias("score"), "match_type"
+    )
+
+
+@query
+def sim_search_all(spark, sf_dir):
+    """Similar analyses of every analysis."""
+    h = history(spark, sf_dir)
+    return H.similar_analyses(_every(h, spark), h["diagnostics"], C.KNOWLEDGE_SIMILAR).select(
+        "request_id", "analysis_id", "position", "match_type", "match_score", "summary_text",
+        lst("matching_fingerprints").alias("matching_fingerprints"), lst("matching_codes").alias("matching_codes"),
+    )
+
+
 @query
 def nar_get(spark, sf_dir):
     return H.stored_narratives(history(spark, sf_dir)["analyses"]).select(
@@ -946,7 +969,7 @@ def kno_prior(spark, sf_dir):
     return _references(K.prior_references(H.with_analysis_text(related, h["analyses"])))
 
 
-def _knowledge_parts(h, spark, requests: DataFrame, scope: list[str]) -> list[DataFrame]:
+def _knowledge_parts(h, spark, requests: DataFrame, scope: list[str] | None = None) -> list[DataFrame]:
     related = H.related_analyses(requests, h["analyses"], C.KNOWLEDGE_PRIOR, scope)
     prior = K.prior_references(H.with_analysis_text(related, h["analyses"]))
     rules = K.rule_references(requests, X.rules(spark))
@@ -974,6 +997,21 @@ def kno_merge(spark, sf_dir):
     return merged.select("request_id", "position", "id", "kind", "title", "summary")
 
 
+@query
+def kno_similar_all(spark, sf_dir):
+    """References to similar analyses for every analysis."""
+    h = history(spark, sf_dir)
+    return _references(_knowledge_parts(h, spark, _every(h, spark))[-1])
+
+
+@query
+def kno_merge_all(spark, sf_dir):
+    """Merged references of every analysis."""
+    h = history(spark, sf_dir)
+    merged = K.merge_references(_knowledge_parts(h, spark, _every(h, spark)))
+    return merged.select("request_id", "position", "id", "kind", "title", "summary")
+
+
 @query
 def kno_pattern_detail(spark, sf_dir):
     """Details of every pattern."""

@@ -77,6 +77,23 @@ def test_similar_equals_brute_force(spark):
         assert got[rid] == want
 
 
+def test_similar_without_project_or_repository(spark):
+    """Repeated requests are answered once, and a blank scope is no filter."""
+    rows = [(i, 0, f"2024-01-{1 + i:02d}", "DotNet", f"f{i % 2}", "C1", "A", "alpha", "alpha", f"p{i % 3}", f"r{i % 2}", i) for i in range(24)]
+    d = spark.createDataFrame(rows, "analysis_id long, seg int, created_at string, tool_kind string, fingerprint string, code string, category string, normalized_message string, message string, project_name string, repository string, diagnostic_id long")
+    asked = [(r[0], "DotNet", [r[4]], [], ["A"], ["alpha"], [r[9], None, ""][r[0] % 3], [r[10], None][r[0] // 3 % 2]) for r in rows]
+    requests = spark.createDataFrame(asked, "request_id long, tool_kind string, fingerprints array<string>, codes array<string>, categories array<string>, query_tokens array<string>, project_name string, repository string")
+    similar, scored = defaultdict(list), defaultdict(set)
+    for r in H.similar_analyses(requests, d, 3).orderBy("position").collect():
+        similar[r["request_id"]].append(r["analysis_id"])
+    for r in H.scored_diagnostics(requests, d).collect():
+        scored[r["request_id"]].add(r["diagnostic_id"])
+    for i, _, (f,), _, _, _, project, repository in asked:
+        hits = [r[0] for r in rows if r[4] == f and (not project or r[9] == project) and (not repository or r[10] == repository)]
+        assert scored[i] == set(hits)
+        assert similar[i] == sorted((x for x in hits if x != i), reverse=True)[:3]
+
+
 def test_pattern_merge_is_associative(spark, sf_dir):
     rows = P.pattern_rows(analysis.applied(analysis.extracted(X.logs(spark, sf_dir)), X.rules(spark))).cache()
     whole = sorted(map(str, P.patterns(P.fold_patterns(rows)).collect()))
