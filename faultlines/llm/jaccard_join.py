@@ -298,13 +298,14 @@ def join(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id",
 
     # equal sets are contracted to their smallest id before the components of all links
     classes = sizes.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("least"))
-    by_id = stored(
-        sizes.where("n > 0 and id is not null").join(classes, ["s1", "s2"]).groupBy("id").agg(F.min("least").alias("least"), F.max("least").alias("most")), "jaccard-classes"
-    )
+    held = stored(sizes.where("n > 0 and id is not null").join(classes, ["s1", "s2"]).select("id", "least").distinct(), "jaccard-held")
+    by_id = stored(held.groupBy("id").agg(F.min("least").alias("least"), F.max("least").alias("most")), "jaccard-classes")
     rep = by_id.select("id", "least")
+    # an id with several sets links the classes of all of them
+    several = by_id.where("least <> most").select("id", F.col("least").alias("a")).join(held, "id")
     edges = (
         links.union(more).join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        .union(by_id.select("least", "most"))
+        .union(several.select("a", F.col("least").alias("b")))
     )
     merged = components(edges)
     named = rep.join(merged.toDF("least", "component"), "least", "left").select("id", F.coalesce("component", "least").alias("component"))

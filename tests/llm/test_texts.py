@@ -226,6 +226,14 @@ def test_jaccard_join(docs, rows, none, clashing, size, num):
     assert sorted(str(r.component_id) for r in jaccard_join.join(clashing, size, num, 100).collect()) == ["1", "1", "None"]
 
 
+def test_jaccard_three_texts_under_one_id(spark):
+    """Copies of every text of an id are in its component, also of those between its least and largest class."""
+    texts = [" ".join(f"{x}{k}" for k in range(1)) for x in "abcde"]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, texts[3]), *[(9, t) for t in texts[:4]], (5, texts[4])]
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, 100).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 1), (9, 1), (5, 5)}
+
+
 def test_jaccard_blocks_of_one_tile(spark, monkeypatch):
     """A tile in many blocks still meets all its pairs, without an edge that was there before."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
