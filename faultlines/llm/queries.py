@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlines.llm import bpe, embedding_dedup, fingerprints, jaccard_join, labelled, packing, quality, secrets, suffix_dedup, token_counts, toxicity
+from faultlines.llm import (
+    bpe, conversation_repair, decontamination, embedding_dedup, fingerprints, jaccard_join, labelled, packing, quality, secrets, suffix_dedup, token_counts,
+    toxicity, whitening,
+)
 from faultlines.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -74,5 +77,32 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pack, op3_bpe_codec, op4_suffix_dedup, op5_token_counts, op6_jaccard_join, op7_toxicity, op8_quality, op9_secret_scan, op10_embedding_dedup)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that ten-word windows of benchmark items cover."""
+    found = decontamination.hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "items", "spans",
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened values of every vector on the 32 components of largest variance."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = whitening.fit(vectors, most=32)
+    return whitening.whiten(vectors, model, model and whitening.identity_error(vectors, model))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after damage."""
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_fingerprints, op2_pack, op3_bpe_codec, op4_suffix_dedup, op5_token_counts, op6_jaccard_join, op7_toxicity, op8_quality, op9_secret_scan,
+        op10_embedding_dedup, op11_decontamination, op12_whitening, op13_conversation_repair,
+    )
+}
 ORACLES: dict[str, str] = {}
