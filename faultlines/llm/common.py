@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    folder, target = _folder(spark, path)
+    folder.deleteOnExit(target)
+    getattr(_OPEN, "paths", []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+_OPEN = threading.local()
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table._stored_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder, target = _folder(spark, path)
+    folder.delete(target, True)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths of all tables that this thread stores inside the block."""
+    before = getattr(_OPEN, "paths", None)
+    _OPEN.paths = paths = []
+    try:
+        yield paths
+    finally:
+        if before is None:
+            del _OPEN.paths
+        else:
+            _OPEN.paths = before
+            before += paths
 
 
 BATCH_ROWS = 2500

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlines.llm.common import bounded_batches, buckets_of, mix, parts_for, slices, stored
+from faultlines.llm.common import bounded_batches, buckets_of, dropped, mix, parts_for, slices, stored
 from faultlines.llm.components import components
 from faultlines.llm.shingles import sets
 
@@ -189,46 +189,74 @@ def folded(bitmaps: list[bytes]) -> np.ndarray:
     return rows
 
 
+def _bitmaps(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, 1):
+                cuts, h = sets(piece.column(1), size)
+                bits = [bitmap(h[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(cuts)), pa.array(bits, pa.binary())], ["id", "n", "bits"])
+
+    return docs.mapInArrow(run, "id bigint, n bigint, bits binary")
+
+
 def _arrays(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, 1):
                 cuts, h = sets(piece.column(1), size)
-                own = [h[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.diff(cuts)), pa.array([bitmap(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())],
-                    ["id", "n", "bits", "hashes"],
-                )
+                own = [h[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own, pa.binary())], ["id", "hashes"])
+
+    return docs.mapInArrow(run, "id bigint, hashes binary")
+
 
-    return docs.mapInArrow(run, "id bigint, n bigint, bits binary, hashes binary")
+def _paired(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+    """The pairs (a, b) with columns of both sides."""
+    left = table.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names])
+    right = table.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names])
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{c}_{side}" for c in names for side in "ab"])
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _bounded(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for xa, xb, ha, hb in zip(*(batch.column(c) for c in ("bits_a", "bits_b", "hashes_a", "hashes_b"))):
-                x, y = np.frombuffer(ha.as_buffer(), np.uint64), np.frombuffer(hb.as_buffer(), np.uint64)
-                need = -(-num * (len(x) + len(y)) // (num + den))
+            for x, y, xa, xb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                need = -(-num * (x + y) // (num + den))
                 bits = folded([xa.as_py(), xb.as_py()])
-                most = min(len(x) - int(np.bitwise_count(bits[0] & ~bits[1]).sum()), len(y) - int(np.bitwise_count(bits[1] & ~bits[0]).sum()))
-                keep.append(most >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need)
+                keep.append(min(x - int(np.bitwise_count(bits[0] & ~bits[1]).sum()), y - int(np.bitwise_count(bits[1] & ~bits[0]).sum())) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = arrays.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"), F.col("hashes").alias("hashes_a"))
-    right = arrays.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"), F.col("hashes").alias("hashes_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+    return _paired(pairs, bitmaps, "n", "bits").mapInArrow(run, "a bigint, b bigint")
+
 
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link. Sets are made for the documents of these pairs only."""
 
-def _tile_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in one tile whose bitmaps allow a link. members: tile, id, comp, n, bits."""
-    count = members.groupBy("tile").agg(F.count("*").alias("rows"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for ha, hb in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(ha.as_buffer(), np.uint64), np.frombuffer(hb.as_buffer(), np.uint64)
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= -(-num * (len(x) + len(y)) // (num + den)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    arrays = stored(_arrays(docs.join(wanted, "id", "left_semi"), size), "jaccard-sets")
+    links = stored(_paired(pairs, arrays, "hashes").mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+    dropped(arrays)
+    return links
+
+
+def _tile_pairs(members: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components in one tile whose bitmaps allow a link. members: tile, id, comp, rows of the tile."""
     blocks = F.expr(f"cast(ceil(rows / {BLOCK}) as int)")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     spread = (
-        members.join(count, "tile").withColumn("blocks", blocks).withColumn("own", own)
+        members.join(bitmaps, "id").withColumn("blocks", blocks).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"), "n", "id", "comp", "bits")
     )
@@ -281,20 +309,23 @@ def join(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id",
     tiles = stored(_shared_tiles(_dealt_keys(docs, size, low, num, den, parts), parts), "jaccard-tiles")
 
     wanted = tiles.select("id").distinct()
-    arrays = stored(_arrays(docs.join(wanted, "id", "left_semi"), size), "jaccard-sets")
+    bitmaps = stored(_bitmaps(docs.join(wanted, "id", "left_semi"), size), "jaccard-bitmaps")
     tried = (
         tiles.where("id <> first").groupBy("id", "first").agg(F.count("*").alias("n"))
         .groupBy("id").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
         .select(F.col("first").alias("a"), F.col("id").alias("b"))
     )
-    links = stored(_verified(tried, arrays, num, den), "jaccard-links")
+    links = _verified(stored(_bounded(tried, bitmaps, num, den), "jaccard-tried"), docs, size, num, den)
     known = components(links)
     placed = stored(
         tiles.join(known.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", F.coalesce("component", "id").alias("comp")), "jaccard-placed"
     )
-    open_tiles = placed.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile")
-    members = stored(placed.join(open_tiles, "tile", "left_semi").join(arrays.select("id", "n", "bits"), "id"), "jaccard-open")
-    more = stored(_verified(stored(_tile_pairs(members, num, den), "jaccard-pairs"), arrays, num, den), "jaccard-more")
+    dropped(tiles)
+    open_tiles = placed.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where("x <> y").select("tile", "rows")
+    members = stored(placed.join(open_tiles, "tile"), "jaccard-open")
+    dropped(placed)
+    more = _verified(stored(_tile_pairs(members, bitmaps, num, den), "jaccard-pairs"), docs, size, num, den)
+    dropped(members, bitmaps)
 
     # equal sets are contracted to their smallest id before the components of all links
     classes = sizes.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("least"))

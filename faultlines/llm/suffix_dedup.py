@@ -469,7 +469,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     n = parts_for(size, PART_BYTES)
     part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     parts = docs.select(part.alias("part"), "*").repartition(n, "part")
-    texts = parts.select("part", "id", "text")
+    # every reader takes the same columns, so that the corpus is shuffled by one exchange
     digests = docs.select("id", F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     later = digests.join(firsts, "digest").where("id > first").select(part.alias("part"), "id", "digest").distinct()
@@ -477,8 +477,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     copies = later.groupBy("part").agg(F.collect_list(F.struct("id", "digest")).alias("copies"))
     copies = copies.select("part", F.lit(2).alias("kind"), none.cast("binary").alias("blob"), "copies")
     no_copies = none.cast("array<struct<id:bigint,digest:binary>>")
-    repeated = _repeated(_dealt_anchors(texts, copies, length, n), n).withColumn("copies", no_copies)
-    answers = _answers(_dealt_segments(texts, repeated.union(copies), length, n), length, n).withColumn("copies", no_copies)
+    repeated = _repeated(_dealt_anchors(parts, copies, length, n), n).withColumn("copies", no_copies)
+    answers = _answers(_dealt_segments(parts, repeated.union(copies), length, n), length, n).withColumn("copies", no_copies)
 
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("kept", pa.string())] if with_text else []

@@ -148,3 +148,18 @@ def test_pipeline_stages_on_hard_rows(spark, docs, none, clashing):
             found = stage(spark, rows, "/root/testdata/sf0.001")
             assert found.columns == rows.columns and found.count() >= least, name
     assert P.STAGES[-1][1](spark, none, "/root/testdata/sf0.001").collect() == []
+
+
+def test_pipeline_removes_what_a_stage_stored(spark, docs):
+    import os
+
+    import corpus_pipeline as P
+    from faultlines.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    P._release(spark)
+    before = set(os.listdir(folder))
+    kept = P.stored(P.near_duplicate_stage(spark, docs, ""), "kept")
+    assert len(set(os.listdir(folder)) - before) > 3
+    P.secret_stage(spark, kept, "").count()
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"kept"}
