@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +103,27 @@ def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     return df
 
 
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run):
+    """run, after which the worker gives freed memory back to the system. Workers are reused: a later stage would hold what
+    an earlier one has freed on top of its own."""
+
+    @functools.wraps(run)
+    def then_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return then_trim
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

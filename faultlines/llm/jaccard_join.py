@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlines.llm.common import bounded_batches, buckets_of, dropped, mix, parts_for, slices, stored
+from faultlines.llm.common import bounded_batches, buckets_of, dropped, mix, parts_for, slices, stored, trimmed
 from faultlines.llm.components import components
 from faultlines.llm.shingles import sets
 
 KEY_BYTES = 12
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 BLOCK = 2048
 HELD_KEYS = 600_000
 
@@ -89,7 +89,7 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
                 s1, s2 = _set_ids(cuts, h)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(cuts)), pa.array(s1), pa.array(s2)], ["id", "n", "s1", "s2"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint")
+    return docs.mapInArrow(trimmed(run), "id bigint, n bigint, s1 bigint, s2 bigint")
 
 
 def _dealt_keys(docs: DataFrame, size: int, low: np.ndarray, num: int, den: int, parts: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _dealt_keys(docs: DataFrame, size: int, low: np.ndarray, num: int, den: int,
         if held:
             yield from packed(keys, ids)
 
-    return docs.mapInArrow(run, "bucket int, base bigint, wide boolean, blob binary")
+    return docs.mapInArrow(trimmed(run), "bucket int, base bigint, wide boolean, blob binary")
 
 
 def _shared_tiles(dealt: DataFrame, parts: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _shared_tiles(dealt: DataFrame, parts: int) -> DataFrame:
             [pa.array(np.repeat(name, lengths)), pa.array(id_[rows]), pa.array(np.repeat(id_[first[at]], lengths))], ["tile", "id", "first"]
         )
 
-    return dealt.repartition(parts, "bucket").mapInArrow(run, "tile bigint, id bigint, first bigint").distinct()
+    return dealt.repartition(parts, "bucket").mapInArrow(trimmed(run), "tile bigint, id bigint, first bigint").distinct()
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -197,7 +197,7 @@ def _bitmaps(docs: DataFrame, size: int) -> DataFrame:
                 bits = [bitmap(h[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(cuts)), pa.array(bits, pa.binary())], ["id", "n", "bits"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, bits binary")
+    return docs.mapInArrow(trimmed(run), "id bigint, n bigint, bits binary")
 
 
 def _arrays(docs: DataFrame, size: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _arrays(docs: DataFrame, size: int) -> DataFrame:
                 own = [h[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own, pa.binary())], ["id", "hashes"])
 
-    return docs.mapInArrow(run, "id bigint, hashes binary")
+    return docs.mapInArrow(trimmed(run), "id bigint, hashes binary")
 
 
 def _paired(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
@@ -230,7 +230,7 @@ def _bounded(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFr
                 keep.append(min(x - int(np.bitwise_count(bits[0] & ~bits[1]).sum()), y - int(np.bitwise_count(bits[1] & ~bits[0]).sum())) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _paired(pairs, bitmaps, "n", "bits").mapInArrow(run, "a bigint, b bigint")
+    return _paired(pairs, bitmaps, "n", "bits").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -246,7 +246,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     arrays = stored(_arrays(docs.join(wanted, "id", "left_semi"), size), "jaccard-sets")
-    links = stored(_paired(pairs, arrays, "hashes").mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+    links = stored(_paired(pairs, arrays, "hashes").mapInArrow(trimmed(run), "a bigint, b bigint"), "jaccard-links")
     dropped(arrays)
     return links
 
@@ -295,7 +295,7 @@ def _tile_pairs(members: DataFrame, bitmaps: DataFrame, num: int, den: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     dealt = spread.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y", "n", "id")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(trimmed(run), "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

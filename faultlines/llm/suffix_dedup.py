@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlines.llm.common import bounded_batches, buckets_of, mix, parts_for, text_values
+from faultlines.llm.common import bounded_batches, buckets_of, mix, parts_for, text_values, trimmed
 
 PART_BYTES = 8 << 20
 CHUNK = 1 << 20
@@ -204,7 +204,7 @@ def _repeated(dealt: DataFrame, buckets: int) -> DataFrame:
             [pa.array(names, pa.int32()), pa.array(np.zeros(len(names)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "blob"]
         )
 
-    return dealt.repartition(buckets, "bucket").mapInArrow(run, "part int, kind int, blob binary")
+    return dealt.repartition(buckets, "bucket").mapInArrow(trimmed(run), "part int, kind int, blob binary")
 
 
 class _Part:
@@ -426,7 +426,7 @@ def _answers(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
             [pa.array(names, pa.int32()), pa.array(np.ones(len(names)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "blob"]
         )
 
-    return dealt.repartition(buckets, "bucket").mapInArrow(run, "part int, kind int, blob binary")
+    return dealt.repartition(buckets, "bucket").mapInArrow(trimmed(run), "part int, kind int, blob binary")
 
 
 def _covered(held: _Part, answers: np.ndarray) -> np.ndarray:

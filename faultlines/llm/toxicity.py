@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlines.llm import labelled
-from faultlines.llm.common import bounded_batches
+from faultlines.llm.common import bounded_batches, trimmed
 
 INSULTS = frozenset("idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb ugly garbage".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta vous votre tú ti usted vosotros".split())
@@ -62,7 +62,7 @@ def learned_terms(sample: DataFrame, most: int = TERMS) -> dict[str, float]:
         )
         yield pa.RecordBatch.from_arrays([pa.array(list(seen[0].keys() - seen[1].keys()), pa.string()), pa.array([0] * len(seen[0].keys() - seen[1].keys()), pa.int64()), pa.array([seen[0][k] for k in seen[0].keys() - seen[1].keys()], pa.int64())], ["term", "bad", "good"])
 
-    counts = sample.select("text", "y").mapInArrow(run, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.select("text", "y").mapInArrow(trimmed(run), "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = F.col("bad") / (F.col("bad") + F.col("good") + 1)
     rows = counts.where("bad >= 5").select("term", "bad", share.alias("share")).where("share >= 0.8").orderBy(F.desc("bad"), "term").limit(most).collect()
     return {r.term: r.share for r in rows}
@@ -213,7 +213,7 @@ def _featured(sample: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             x = pa.array([features(t, lexicon) for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([x, batch.column(1), pa.array([zlib.crc32(t.encode()) % 3 for t in texts], pa.int32())], ["x", "y", "fold"])
 
-    return sample.select("text", "y").mapInArrow(run, "x array<double>, y int, fold int")
+    return sample.select("text", "y").mapInArrow(trimmed(run), "x array<double>, y int, fold int")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 x = np.array([features(t or "", own.lexicon) for t in piece.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own.score(x))], [id_col, "score"])
 
-    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(trimmed(run), schema)
 
 
 def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -246,4 +246,4 @@ def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "t
                 x = np.array([features(t or "", own.lexicon) for t in piece.column(where).to_pylist()])
                 yield piece.filter(pa.array(own.score(x) < threshold))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(trimmed(run), docs.schema)
