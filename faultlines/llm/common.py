@@ -103,7 +103,8 @@ def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     return df
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Gives freed memory of this process back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
@@ -119,7 +120,7 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            _trim()
+            trim()
 
     return then_trim
 

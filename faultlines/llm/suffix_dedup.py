@@ -32,11 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlines.llm.common import bounded_batches, buckets_of, mix, parts_for, text_values, trimmed
+from faultlines.llm.common import bounded_batches, buckets_of, mix, parts_for, text_values, trim, trimmed
 
 PART_BYTES = 8 << 20
 CHUNK = 1 << 20
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 LAST = (1 << 63) - 1
 
 
@@ -151,6 +151,7 @@ def _dealt_anchors(parts: DataFrame, copies: DataFrame, length: int, buckets: in
     """(bucket, part, blob): the distinct anchors of each part; the last bit tells that several texts hold one."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         names, types = ["bucket", "part", "blob"], [pa.int32(), pa.int32(), pa.binary()]
         rows: list[tuple[int, bytes]] = []
         if left.num_rows:
@@ -266,6 +267,7 @@ def _dealt_segments(parts: DataFrame, repeated: DataFrame, length: int, buckets:
     """(bucket, part, blob): the distinct segments of each part, with the smallest and largest id that holds each."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         names = ["bucket", "part", "blob"]
         types = [pa.int32(), pa.int32(), pa.binary()]
         if not left.num_rows:
@@ -484,6 +486,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     fields += [("kept", pa.string())] if with_text else []
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         if not left.num_rows:
             columns = [pa.array([], t) for _, t in fields] + [left.column(c) for c in passed]
             return pa.table(columns, [f for f, _ in fields] + passed)
