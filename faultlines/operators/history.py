@@ -24,6 +24,7 @@ from faultlines.functions.text import (
     text_lit,
     ws_trim,
 )
+from faultlines.sources.sinks import narrative_field, processing_field
 
 SCOPE = ["project_name", "repository"]
 
@@ -368,36 +369,47 @@ def search_narratives(
 # ---------------------------------------------------------------- full documents
 
 
-def get_analyses(wanted: DataFrame, analyses: DataFrame, diagnostics: DataFrame, groups: DataFrame) -> DataFrame:
-    """Full document per wanted id: the stored snapshot with live raw content, else rebuilt from the rows.
+def _known(value: Column, names, other: str) -> Column:
+    return F.when(value.isin(*names), value).otherwise(F.lit(other))
 
-    A rebuilt document has no candidates and no rules, as those are only kept in snapshots.
-    """
-    chosen = analyses.join(wanted.select("analysis_id").distinct(), "analysis_id", "left_semi")
-    ids = chosen.select("analysis_id")
-    d = (
-        diagnostics.join(ids, "analysis_id", "left_semi")
-        .groupBy("analysis_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("seg", "diagnostic_id", "tool_kind", "code", "severity", "message", "category", "fingerprint")
-                )
-            ).alias("diagnostics")
-        )
+
+def rebuilt_documents(analyses: DataFrame, diagnostics: DataFrame, groups: DataFrame) -> DataFrame:
+    """Documents from the stored rows, for analyses without a snapshot. Stored names that are not known read as Error
+    (severity) or Unknown (tool, category); a group without a primary diagnostic takes its first related one. Candidates,
+    matched rules and warnings are only kept in snapshots."""
+    fields = F.struct(
+        "order_index", "id", _known(F.col("tool_kind"), C.TOOL_TEXT, "Unknown").alias("tool_kind"), "source", "code",
+        _known(F.col("severity"), C.SEVERITY_TEXT, "Error").alias("severity"), "message", "normalized_message", "location", "raw_snippet",
+        _known(F.col("category"), C.CATEGORY_TEXT, "Unknown").alias("category"), "subcategory", "is_primary_candidate", blank_to_null(F.col("fingerprint")).alias("fingerprint"),
+        F.map_entries("metadata").alias("metadata"),
     )
-    g = (
-        groups.join(ids, "analysis_id", "left_semi")
-        .groupBy("analysis_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("order_index", "fingerprint", "count", "group_reason", "primary_diagnostic_id", "related_diagnostic_ids")
-                )
-            ).alias("groups")
-        )
+    d = diagnostics.groupBy("analysis_id").agg(F.sort_array(F.collect_list(fields)).alias("diagnostics"))
+    related = F.col("related_diagnostic_ids")
+    primary = F.coalesce(blank_to_null(F.col("primary_diagnostic_id")), F.get(related, F.lit(0)), F.lit("diag_unknown"))
+    reason = F.coalesce("group_reason", F.lit(C.GROUP_REASON_MANY))
+    g = groups.groupBy("analysis_id").agg(
+        F.sort_array(
+            F.collect_list(F.struct("order_index", "id", "fingerprint", "count", reason.alias("group_reason"), primary.alias("primary_diagnostic_id"), "related_diagnostic_ids"))
+        ).alias("groups")
     )
-    return chosen.join(d, "analysis_id", "left").join(g, "analysis_id", "left")
+    return analyses.join(d, "analysis_id", "left").join(g, "analysis_id", "left")
+
+
+def get_analyses(wanted: DataFrame, analyses: DataFrame, snapshots: DataFrame, diagnostics: DataFrame, groups: DataFrame) -> DataFrame:
+    """Full document per wanted id: the stored snapshot with the raw content as it is now, else rebuilt from the rows.
+
+    ``origin`` tells which. Only the rows of analyses without a snapshot are read for rebuilding.
+    """
+    chosen = analyses.join(wanted.select("analysis_id").distinct(), "analysis_id", "left_semi")
+    live = chosen.select("analysis_id", "raw_content", "raw_content_redacted")
+    stored = snapshots.drop("raw_content", "raw_content_redacted").join(live, "analysis_id")
+    rest = chosen.join(snapshots.select("analysis_id"), "analysis_id", "left_anti")
+    ids = rest.select("analysis_id")
+    own = ["analysis_id", "input_type", "tool_detected", "created_at", "project_name", "repository", "raw_content_hash", "raw_content", "raw_content_redacted", "context"]
+    summary = F.struct("total_diagnostics", "group_count", "primary_issue_count", "error_count", "warning_count")
+    rest = rest.select(*own, summary.alias("summary"), narrative_field().alias("narrative"), processing_field().alias("processing"))
+    old = rebuilt_documents(rest, diagnostics.join(ids, "analysis_id", "left_semi"), groups.join(ids, "analysis_id", "left_semi"))
+    return stored.withColumn("origin", F.lit("snapshot")).unionByName(old.withColumn("origin", F.lit("rebuilt")), allowMissingColumns=True)
 
 
 def query_tokens(messages: Column) -> Column:

@@ -1,12 +1,14 @@
-"""Raw-content policy, purge, deletion and retention. Tables are rewritten, never updated in place."""
+"""Raw-content policy, purge, deletion and retention. Rows are never updated in place: tables, or the partitions that a
+retention run touches, are written again."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlines.functions.redact import redact_raw
 from faultlines.functions.text import text_lit
+from faultlines.sources.sinks import DATE
 
 
 def effective_days(days: int | None) -> int | None:
@@ -52,19 +54,55 @@ def cutoff(as_of: Column, days: int) -> Column:
     return as_of - F.make_interval(days=F.lit(days))
 
 
+def due(analyses: DataFrame, as_of: Column, raw_days: int | None, analysis_days: int | None) -> DataFrame:
+    """Rows that a retention run may touch. On a dated table the filter is one on its partitions too."""
+    days = [d for d in (effective_days(raw_days), effective_days(analysis_days)) if d]
+    if not days:
+        return analyses.filter(F.lit(False))
+    newest = cutoff(as_of, min(days))
+    if DATE in analyses.columns:
+        analyses = analyses.filter(F.col(DATE) <= F.to_date(newest))
+    return analyses.filter(F.col("created_at") < newest)
+
+
 def retention_report(
     analyses: DataFrame, as_of: Column, raw_days: int | None, analysis_days: int | None
 ) -> DataFrame:
     """How many rows a retention run purges and deletes; a purge is counted before the deletion."""
-    raw_days, analysis_days = effective_days(raw_days), effective_days(analysis_days)
-    created = F.col("created_at")
-    purge = (
-        F.count_if(F.col("raw_content").isNotNull() & (created < cutoff(as_of, raw_days)))
-        if raw_days
-        else F.lit(0).cast("long")
+    purge, delete = _marks(as_of, effective_days(raw_days), effective_days(analysis_days))
+    return due(analyses, as_of, raw_days, analysis_days).agg(
+        F.count_if(purge).alias("raw_content_purged"), F.count_if(delete).alias("analyses_deleted")
     )
-    delete = F.count_if(created < cutoff(as_of, analysis_days)) if analysis_days else F.lit(0).cast("long")
-    return analyses.agg(purge.alias("raw_content_purged"), delete.alias("analyses_deleted"))
+
+
+def _marks(as_of: Column, raw_days: int | None, analysis_days: int | None) -> tuple[Column, Column]:
+    """Whether a row's raw content is to be purged, and whether the row is to be deleted."""
+    created = F.col("created_at")
+    purge = F.col("raw_content").isNotNull() & (created < cutoff(as_of, raw_days)) if raw_days else F.lit(False)
+    return purge, created < cutoff(as_of, analysis_days) if analysis_days else F.lit(False)
+
+
+def retain(spark: SparkSession, path: str, as_of: Column, raw_days: int | None, analysis_days: int | None, scratch: str) -> list[str]:
+    """A retention run over the dated table at ``path``, in place; returns the partitions that it rewrote or removed.
+
+    Only partitions that hold a row to purge or to delete are read whole and written again, so a daily run costs the days that
+    have come due since the last one. What is left of them is first written to ``scratch`` and then replaces them
+    partition by partition; a run that is repeated finds nothing more to do.
+    """
+    table = spark.read.parquet(path)
+    purge, delete = _marks(as_of, effective_days(raw_days), effective_days(analysis_days))
+    touched = [r[0] for r in due(table, as_of, raw_days, analysis_days).filter(purge | delete).select(DATE).distinct().collect()]
+    if not touched:
+        return []
+    own = table.filter(F.col(DATE).isin(touched))
+    apply_retention(own, as_of, raw_days, analysis_days).write.mode("overwrite").partitionBy(DATE).parquet(scratch)
+    left = spark.read.schema(table.schema).parquet(scratch)
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
+    kept = {r[0] for r in left.select(DATE).distinct().collect()}
+    for gone in (d for d in touched if d not in kept):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{DATE}={gone}")
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return sorted(str(d) for d in touched)
 
 
 def apply_retention(

@@ -33,9 +33,9 @@ from faultlines.operators.extract import diagnostics, segment_stats, unparsed, w
 from faultlines.operators.segment import explode_segments, segment_logs
 from faultlines.plans import analysis, store
 from faultlines.session import shared_folder
+from faultlines.sources import commits, intake, sinks
 from faultlines.sources import fixtures as X
 from faultlines.sources import logs as S
-from faultlines.sources import sinks
 from faultlines.streaming import streams as ST
 
 QUERIES: dict = {}
@@ -68,7 +68,7 @@ def history(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         path = scratch(spark, "store")
-        store.build_store(X.logs(spark, sf_dir), X.rules(spark), path)
+        store.build_store(X.with_context(X.logs(spark, sf_dir)), X.rules(spark), path)
         _STORES[key] = path
     return store.open_store(spark, _STORES[key])
 
@@ -107,18 +107,21 @@ def src_tool_alias(spark, sf_dir):
     return X.requests(spark, sf_dir).select("log_id", "tool_hint", S.parse_tool(F.col("tool_hint")).alias("tool"))
 
 
+@query
+def src_rejected(spark, sf_dir):
+    """Violations of the requests that admission has put apart, with how many requests it accepted and rejected."""
+    asked = X.requests(spark, sf_dir).withColumn("too_long", F.lit(False)).unionByName(X.oversize_requests(spark, sf_dir))
+    admission = intake.admit(asked, scratch(spark, "admission"))
+    return intake.rejections(admission.rejected).withColumns(
+        {"accepted": F.lit(admission.accepted_count), "rejected": F.lit(admission.rejected_count)}
+    )
+
+
 @query
 def src_context(spark, sf_dir):
-    fields = {
-        "projectName": F.concat(F.lit(" "), F.col("project_name")),
-        "repository": F.when(F.col("log_id") % 4 == 0, F.lit("  ")).otherwise(F.col("repository")),
-        "branch": F.when(F.col("log_id") % 3 == 0, F.lit("main ")),
-        "environment.ci": F.when(F.col("log_id") % 5 > 1, (F.col("log_id") % 5 == 2).cast("string")),
-    }
-    context = S.build_context(fields)
-    keys = F.array_sort(F.map_keys(context))
-    text = F.transform(keys, lambda k: F.concat(k, F.lit("="), context[k]))
-    return X.logs(spark, sf_dir).select("log_id", F.array_join(text, ";").alias("context"))
+    context = F.col("context")
+    text = F.transform(F.array_sort(F.map_keys(context)), lambda k: F.concat(k, F.lit("="), context[k]))
+    return X.with_context(X.logs(spark, sf_dir)).select("log_id", F.array_join(text, ";").alias("context"))
 
 
 @query
@@ -161,27 +164,36 @@ def sink_groups(spark, sf_dir):
     )
 
 
-def _snapshots(spark, sf_dir) -> DataFrame:
-    h = history(spark, sf_dir)
-    d = sinks.diagnostic_rows(h["diagnostics"].withColumnRenamed("analysis_id", "log_id"))
-    g = sinks.group_rows(h["groups"].withColumnRenamed("analysis_id", "log_id"))
-    c = h["candidates"].filter(F.col("fingerprint").isNotNull()).withColumnRenamed("log_id", "analysis_id")
-    return sinks.snapshots(h["analyses"], d, g, c)
-
-
 @query
 def sink_snapshot(spark, sf_dir):
-    return _snapshots(spark, sf_dir).select("analysis_id", F.to_json(F.struct("*")).alias("document"))
+    """Every part of every stored document."""
+    return sinks.document_rows(history(spark, sf_dir)["snapshots"])
+
+
+class _Unwritable(OSError):
+    pass
+
+
+def _half_writing(df: DataFrame, path: str) -> None:
+    """A sink that breaks off after part of the rows of one repository."""
+    if df.filter("repository = 'repoO'").isEmpty():
+        return commits.write_parquet(df, path)
+    commits.write_parquet(df.filter("log_id % 2 = 0"), path)
+    raise _Unwritable(path)
 
 
 @query
 def sink_gate(spark, sf_dir):
-    logs = X.logs(spark, sf_dir)
-    failed = logs.filter(F.col("persist") & (F.col("repository") == "repoO")).select(
-        "log_id", F.lit("IOException").alias("error")
-    )
+    """Logs written in batches by repository, one of which fails half-way: what is readable afterwards, and the notes."""
+    path = scratch(spark, "gate")
+    logs = staged(X.logs(spark, sf_dir).select("log_id", "repository", "persist", "input_type"), "gate-logs")
+    failed = commits.commit(logs.filter("persist"), path, "repository", _half_writing)
+    written = commits.read(spark, path, logs.schema).select("log_id", F.lit(True).alias("written"))
     notes = F.when(F.col("input_type") == "SingleDiagnostic", F.lit("single"))
-    return sinks.status_notes(logs, failed, notes)
+    errors = logs.join(failed.withColumnRenamed("batch", "repository"), "repository").select("log_id", "error")
+    return sinks.status_notes(logs, errors, notes).drop("persisted").join(written, "log_id", "left").select(
+        "log_id", F.coalesce("written", F.lit(False)).alias("persisted"), "notes"
+    )
 
 
 # ---------------------------------------------------------------- detection
@@ -539,12 +551,8 @@ def prj_single(spark, sf_dir):
 
 @query
 def prj_build_log(spark, sf_dir):
-    snapshots = _snapshots(spark, sf_dir).filter(F.col("input_type") == "BuildLog")
-    return J.build_log_view(snapshots, include_diagnostics=False).select(
-        "analysis_id", "tool", F.to_json("summary").alias("summary"), F.to_json("candidates").alias("candidates"),
-        F.to_json("groups").alias("groups"), F.size("diagnostics").alias("diagnostics"),
-        F.to_json("processing").alias("processing"),
-    )
+    documents = history(spark, sf_dir)["snapshots"].filter(F.col("input_type") == "BuildLog")
+    return sinks.document_rows(J.build_log_view(documents, include_diagnostics=False), "tool")
 
 
 @query
@@ -790,12 +798,17 @@ def _requests_of(h: dict[str, DataFrame]) -> DataFrame:
 
 @query
 def his_get(spark, sf_dir):
+    """Every part of every document. A fourth of the analyses is older than the snapshots and is rebuilt, some of them from
+    names that are no longer known; the raw content of one project was purged after its snapshots."""
     h = history(spark, sf_dir)
-    found = H.get_analyses(h["analyses"].select("analysis_id"), h["analyses"], h["diagnostics"], h["groups"])
-    return found.select(
-        "analysis_id", "tool_detected", "total_diagnostics", F.to_json("diagnostics").alias("diagnostics"),
-        F.to_json("groups").alias("groups"),
-    )
+    analyses = V.purge_raw(h["analyses"], h["analyses"].filter(F.col("project_name") == "proj5"))
+    d = sinks.diagnostic_rows(h["diagnostics"].withColumnRenamed("analysis_id", "log_id"))
+    odd = (F.col("analysis_id") % 8 == 1) & (F.col("order_index") % 3 == 0)
+    d = d.withColumn("severity", F.when(odd, F.lit("Severe")).otherwise(F.col("severity")))
+    g = sinks.group_rows(h["groups"].withColumnRenamed("analysis_id", "log_id"))
+    g = g.withColumn("primary_diagnostic_id", F.when(F.col("analysis_id") % 16 == 1, F.lit(" ")).otherwise(F.col("primary_diagnostic_id")))
+    found = H.get_analyses(analyses.select("analysis_id"), analyses, h["snapshots"].filter("analysis_id % 4 <> 1"), d, g)
+    return sinks.document_rows(found, "origin")
 
 
 @query
@@ -1094,8 +1107,11 @@ def prv_retention(spark, sf_dir):
 
 @query
 def prv_retention_apply(spark, sf_dir):
-    left = V.apply_retention(history(spark, sf_dir)["analyses"], as_of(), 365, 1000)
-    return left.select("analysis_id", F.col("raw_content").isNotNull().alias("has_raw"), "raw_content_redacted")
+    """A retention run on a copy of the stored analyses, partition by partition."""
+    path = scratch(spark, "retained")
+    sinks.write_table(history(spark, sf_dir)["analyses"].drop(sinks.DATE), path, "created_at", unit="month")
+    V.retain(spark, path, as_of(), 365, 1000, scratch(spark, "retained-rest"))
+    return spark.read.parquet(path).select("analysis_id", F.col("raw_content").isNotNull().alias("has_raw"), "raw_content_redacted")
 
 
 @query

@@ -15,15 +15,19 @@ from faultlines.operators.extract import diagnostics, with_order_index
 from faultlines.operators.group import groups, group_rows
 from faultlines.operators.privacy import stored_raw_content
 from faultlines.plans import analysis
-from faultlines.sources import sinks
+from faultlines.sources import intake, sinks
 
-TABLES = ["segments", "candidates", "analyses", "diagnostics", "groups", "rule_matches", "pattern_state"]
+TABLES = ["segments", "candidates", "analyses", "diagnostics", "groups", "rule_matches", "pattern_state", "snapshots"]
 
 
-def build_store(logs: DataFrame, rules: DataFrame, path: str, by_date: bool = False) -> None:
-    """Analyses the logs to be persisted and writes all tables below ``path``."""
+def build_store(logs: DataFrame, rules: DataFrame, path: str, by_date: bool = False, unit: str = "month") -> None:
+    """Analyses the accepted logs that are to be persisted and writes all tables below ``path``.
+
+    Admission writes the requests once, rejected ones apart; what follows reads the accepted ones from there, so logs
+    are assembled once.
+    """
     spark = logs.sparkSession
-    kept = sinks.persisted_only(logs)
+    kept = sinks.persisted_only(intake.admit(logs, f"{path}/requests").accepted)
     sinks.write_table(analysis.extracted(kept), f"{path}/segments")
     segments = spark.read.parquet(f"{path}/segments")
 
@@ -33,13 +37,13 @@ def build_store(logs: DataFrame, rules: DataFrame, path: str, by_date: bool = Fa
 
     facts = sinks.log_facts(stored_raw_content(kept))
     created = "created_at" if by_date else None
-    sinks.write_table(sinks.analysis_rows(analysis.narrated(candidates), facts), f"{path}/analyses", created)
+    sinks.write_table(sinks.analysis_rows(analysis.narrated(candidates), facts), f"{path}/analyses", "created_at", unit=unit)
 
     ordered = with_order_index(diagnostics(segments))
-    sinks.write_table(ordered.withColumnRenamed("log_id", "analysis_id"), f"{path}/diagnostics", created)
+    sinks.write_table(ordered.withColumnRenamed("log_id", "analysis_id"), f"{path}/diagnostics", created, unit=unit)
 
     found = groups(group_rows(segments)).drop("members", "latest")
-    sinks.write_table(found.withColumnRenamed("log_id", "analysis_id"), f"{path}/groups", created)
+    sinks.write_table(found.withColumnRenamed("log_id", "analysis_id"), f"{path}/groups", created, unit=unit)
 
     # Both kinds of match read the narrow stored rows; rules may be inlined or joined, see ``rules``.
     applications = R.match_diagnostics(segments.filter("parsed"), rules).unionByName(R.match_groups(found, rules))
@@ -48,6 +52,20 @@ def build_store(logs: DataFrame, rules: DataFrame, path: str, by_date: bool = Fa
         applications.join(times, "log_id").withColumnRenamed("log_id", "analysis_id"), f"{path}/rule_matches"
     )
     sinks.write_table(P.fold_patterns(P.pattern_rows(candidates)), f"{path}/pattern_state")
+    sinks.write_table(_documents(spark, path, rules), f"{path}/snapshots", created, unit=unit)
+
+
+def _documents(spark: SparkSession, path: str, rules: DataFrame) -> DataFrame:
+    """Snapshots of all analyses from the written tables."""
+
+    def stored(name: str, key: str = "analysis_id") -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}").withColumnRenamed(key, "log_id")
+
+    matches = R.match_audit(stored("rule_matches"), rules, F.col("applied_at")).withColumnRenamed("log_id", "analysis_id")
+    candidates = stored("candidates").filter(F.col("fingerprint").isNotNull()).withColumnRenamed("log_id", "analysis_id")
+    return sinks.snapshots(
+        spark.read.parquet(f"{path}/analyses"), sinks.diagnostic_rows(stored("diagnostics")), sinks.group_rows(stored("groups")), candidates, matches
+    )
 
 
 def open_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from faultlines import constants as C
 from faultlines.functions.text import utf16_length
 from faultlines.operators.sizing import fits
-from faultlines.sources.logs import join_chunks, oversize_logs
+from faultlines.sources.logs import build_context, join_chunks, oversize_logs
 
 # No chunk of the fixture is longer: fixed text of fewer than 200 characters and at most six numbers or names.
 LONGEST_CHUNK = 400
@@ -173,6 +173,21 @@ def requests(spark: SparkSession, sf_dir: str, max_chars: int = C.MAX_CONTENT_CH
     return _faulty(logs(spark, sf_dir, max_chars))
 
 
+def with_context(submitted: DataFrame) -> DataFrame:
+    """Adds the context map. Single diagnostics say nothing of their environment."""
+    log = F.col("log_id")
+    whole = F.col("input_type") == "BuildLog"
+    return submitted.withColumn("context", build_context({
+        "projectName": F.concat(F.lit(" "), F.col("project_name")),
+        "repository": F.when(log % 4 == 0, F.lit("  ")).otherwise(F.col("repository")),
+        "branch": F.when(log % 3 == 0, F.lit("main ")),
+        "commitSha": F.when((log % 10).isin(1, 2), F.substring(F.sha2(log.cast("string"), 256), 1, 12)),
+        "environment.os": F.when(whole & (log % 6 < 3), F.lit("linux")).when(whole & (log % 6 == 3), F.lit(" windows ")),
+        "environment.ci": F.when(whole & (log % 5 > 1), (log % 5 == 2).cast("string")),
+        "environment.machineName": F.when(whole & (log % 7 == 0), F.concat(F.lit("agent-"), (log % 9).cast("string"))),
+    }))
+
+
 def _faulty(submitted: DataFrame) -> DataFrame:
     return submitted.withColumns(
         {

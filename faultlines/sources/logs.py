@@ -76,10 +76,10 @@ def parse_tool(value: Column) -> Column:
     return lookup(F.lower(ws_trim(value)), C.TOOL_ALIASES)
 
 
-def request_errors(requests: DataFrame) -> DataFrame:
-    """One row per violation: log_id, field, message."""
+def violations(requests: DataFrame) -> Column:
+    """All violations of a request, as an array of (field, message); empty for an accepted one."""
     content, tool = F.col("content"), F.col("tool_hint")
-    checks = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(is_blank(content) & ~_too_long(requests), _error("content", "Content is required.")).when(
                 _too_long(requests),
@@ -95,7 +95,11 @@ def request_errors(requests: DataFrame) -> DataFrame:
             ),
         )
     )
-    return requests.select("log_id", F.explode(checks).alias("e")).select("log_id", "e.field", "e.message")
+
+
+def request_errors(requests: DataFrame) -> DataFrame:
+    """One row per violation: log_id, field, message."""
+    return requests.select("log_id", F.explode(violations(requests)).alias("e")).select("log_id", "e.field", "e.message")
 
 
 def _too_long(requests: DataFrame) -> Column:

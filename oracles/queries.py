@@ -36,13 +36,22 @@ oracle(
     UNION ALL SELECT log_id, 'tool', 'Tool must be one of: dotnet, typescript, npm, vite, python, generic.' FROM requests WHERE tool_hint IS NOT NULL AND {trim('tool_hint')} <> '' AND {_alias} IS NULL
     UNION ALL SELECT log_id, 'options.persistRawContent', 'PersistRawContent can only be true when Persist is also true.' FROM requests WHERE store_raw AND NOT persist""",
 )
-oracle("src_tool_alias", f"SELECT log_id, tool_hint, {_alias} AS tool FROM requests")
+cte("rejections", ORACLES["src_validate"])
 oracle(
-    "src_context",
-    """SELECT log_id, CASE WHEN len(p) > 0 THEN array_to_string(p, ';') END AS context FROM (SELECT log_id, list_filter([
-      CASE WHEN log_id % 3 = 0 THEN 'branch=main' END, CASE WHEN log_id % 5 > 1 THEN 'environment.ci=' || CASE WHEN log_id % 5 = 2 THEN 'true' ELSE 'false' END END,
-      'projectName=' || project_name, CASE WHEN log_id % 4 <> 0 THEN 'repository=' || repository END], lambda x: x IS NOT NULL) AS p FROM logs)""",
+    "src_rejected",
+    "SELECT log_id, field, message, (SELECT count(*) FROM requests) - (SELECT count(DISTINCT log_id) FROM rejections) AS accepted, (SELECT count(DISTINCT log_id) FROM rejections) AS rejected FROM rejections",
 )
+oracle("src_tool_alias", f"SELECT log_id, tool_hint, {_alias} AS tool FROM requests")
+_whole = "input_type = 'BuildLog' AND"
+cte(
+    "contexts_of",
+    f"""SELECT log_id, list_filter([CASE WHEN log_id % 3 = 0 THEN 'branch=main' END, CASE WHEN log_id % 10 IN (1, 2) THEN 'commitSha=' || left(sha256(CAST(log_id AS VARCHAR)), 12) END,
+      CASE WHEN {_whole} log_id % 5 > 1 THEN 'environment.ci=' || CASE WHEN log_id % 5 = 2 THEN 'true' ELSE 'false' END END,
+      CASE WHEN {_whole} log_id % 7 = 0 THEN 'environment.machineName=agent-' || log_id % 9 END,
+      CASE WHEN {_whole} log_id % 6 < 3 THEN 'environment.os=linux' WHEN {_whole} log_id % 6 = 3 THEN 'environment.os=windows' END,
+      'projectName=' || project_name, CASE WHEN log_id % 4 <> 0 THEN 'repository=' || repository END], lambda x: x IS NOT NULL) AS p FROM logs""",
+)
+oracle("src_context", "SELECT log_id, CASE WHEN len(p) > 0 THEN array_to_string(p, ';') END AS context FROM contexts_of")
 oracle("src_hash", "SELECT log_id, sha256(content) AS sha, left(sha256(content), 12) AS prefix, CAST(len(string_split(content, chr(10))) AS INT) AS lines FROM logs")
 
 # ---------------------------------------------------------------- raw redaction of logs (no look-behind: the character before is captured)
@@ -83,7 +92,42 @@ oracle(
 oracle(
     "sink_gate",
     """SELECT log_id, persist AND repository <> 'repoO' AS persisted, nullif(concat_ws('; ', CASE WHEN input_type = 'SingleDiagnostic' THEN 'single' END,
-      CASE WHEN persist AND repository = 'repoO' THEN 'persistence-failure:IOException' END), '') AS notes FROM logs""",
+      CASE WHEN persist AND repository = 'repoO' THEN 'persistence-failure:_Unwritable' END), '') AS notes FROM logs""",
+)
+
+
+def documents_sql(parts: list[str], severity: str = "severity", primary: str = "primary_id", kept: str = "true") -> str:
+    """Flat rows (log_id, part, position, item) of stored documents."""
+    reason = f"CASE WHEN cnt = 1 THEN {q(C.GROUP_REASON_SINGLE)} ELSE {q(C.GROUP_REASON_MANY)} END"
+    sql = {
+        "diagnostic": f"""SELECT log_id, 'diagnostic' AS part, pos AS position, concat_ws('|', diagnostic_id, {severity}, code, category, fingerprint, message, file_path, line) AS item
+          FROM (SELECT *, CAST(row_number() OVER (PARTITION BY log_id ORDER BY seg) - 1 AS INT) AS pos FROM stored_diags)""",
+        "group": f"SELECT log_id, 'group', order_index, concat_ws('|', fingerprint, cnt, {reason}, {primary}, array_to_string(ids, ',')) FROM grps JOIN par p USING (log_id) WHERE p.persist",
+        "candidate": "SELECT log_id, 'candidate', rank - 1, concat_ws('|', fingerprint, title, explanation, array_to_string(suggested_fixes, ',')) FROM stored_cands",
+        "rule": "SELECT log_id, 'rule', CAST(row_number() OVER (PARTITION BY log_id ORDER BY rule_id, target_type, target_id) - 1 AS INT), concat_ws('|', rule_id, target_type, target_id) FROM stored_apps",
+        "summary": "SELECT log_id, 'summary', 0, concat_ws('|', total_diagnostics, group_count, primary_issue_count, error_count, warning_count) FROM stored_narr",
+        "narrative": "SELECT log_id, 'narrative', 0, concat_ws('|', narrative_summary, group_summaries, next_steps) FROM stored_narr WHERE gate",
+        "processing": "SELECT log_id, 'processing', 0, concat_ws('|', 'false', parser_name) FROM stored_narr",
+        "context": "SELECT log_id, 'context', CAST(unnest(range(len(p))) AS INT), unnest(p) FROM contexts_of JOIN stored_narr USING (log_id)",
+        "content": f"SELECT log_id, 'content', 0, concat_ws('|', sha256(content), raw_content IS NOT NULL AND {kept}, coalesce(raw_content <> content, false) AND {kept}) FROM raw_logs JOIN stored_narr USING (log_id)",
+    }
+    return " UNION ALL ".join(sql[p] for p in parts)
+
+
+_parts = ["diagnostic", "group", "candidate", "rule", "summary", "narrative", "processing", "context", "content"]
+oracle("sink_snapshot", f"SELECT log_id AS analysis_id, part, position, item FROM ({documents_sql(_parts)})")
+_found = documents_sql(
+    _parts, "CASE WHEN log_id % 8 = 1 AND pos % 3 = 0 THEN 'Error' ELSE severity END", "CASE WHEN log_id % 16 = 1 THEN ids[1] ELSE primary_id END", "project_name <> 'proj5'"
+)
+oracle(
+    "his_get",
+    f"""SELECT log_id AS analysis_id, CASE WHEN log_id % 4 = 1 THEN 'rebuilt' ELSE 'snapshot' END AS origin, part, position, item FROM ({_found})
+      WHERE NOT (log_id % 4 = 1 AND part IN ('candidate', 'rule'))""",
+)
+_view = documents_sql(["group", "candidate", "summary", "narrative", "processing"])
+oracle(
+    "prj_build_log",
+    f"SELECT v.log_id AS analysis_id, {case('tool_detected', C.TOOL_TEXT)} AS tool, v.part, v.position, v.item FROM ({_view}) v(log_id, part, position, item) JOIN stored_narr s ON s.log_id = v.log_id WHERE s.input_type = 'BuildLog'",
 )
 
 # ---------------------------------------------------------------- detection
