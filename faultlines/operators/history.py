@@ -137,13 +137,50 @@ def _scored(joined: DataFrame) -> DataFrame:
     ).filter(F.col("score") >= C.SIM_THRESHOLD)
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """The best diagnostic ``b`` of each request and analysis."""
+    fields = F.struct((-F.col("score")).alias("s"), "seg", "created_at", "match_type", "message", "normalized_message")
+    return pairs.groupBy("request_id", "analysis_id").agg(F.min(fields).alias("b"))
+
+
+def _certain(requests: DataFrame, diagnostics: DataFrame, limit: int, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the other requests, answers of the requests that find ``limit`` analyses with the highest score by fingerprint and
+    code alone). Equal scores rank by time, so older analyses of a fingerprint and code cannot be among the first."""
+    newest = W.partitionBy("tool_kind", "fingerprint", "_code", *scope).orderBy(F.desc("created_at"), "analysis_id")
+    recent = (
+        diagnostics.select(
+            "analysis_id", "created_at", "seg", "message", "tool_kind", "fingerprint", "code", "category", "normalized_message", *scope, F.lower("code").alias("_code")
+        )
+        .filter(F.col("fingerprint").isNotNull() & F.col("_code").isNotNull())
+        .withColumn("_n", F.dense_rank().over(newest))
+        .filter(F.col("_n") <= limit + 1)
+        .drop("_n", "_code")
+    )
+    asked = requests.select(
+        "request_id", "tool_kind", *scope, "fingerprints", "codes", "categories", "query_tokens", F.explode(F.array_distinct("fingerprints")).alias("fingerprint")
+    )
+    met = asked.join(recent, ["tool_kind", "fingerprint", *scope]).filter(_another()).withColumn("own_tokens", tokens(F.col("normalized_message")))
+    found = _best(_scored(met).filter(F.col("score") >= C.SIM_CAP))
+    # where a fingerprint also stands with a code that the request lacks, its score depends on the message
+    pairs = diagnostics.select("tool_kind", "fingerprint", F.lower("code").alias("_code")).distinct()
+    lacks = ~F.coalesce(F.exists("codes", lambda c: F.lower(c) == F.col("_code")), F.lit(False))
+    unsure = asked.join(pairs, ["tool_kind", "fingerprint"]).filter(lacks).select("request_id").distinct()
+    enough = found.groupBy("request_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= limit).select("request_id").join(unsure, "request_id", "left_anti")
+    return requests.join(enough, "request_id", "left_anti"), found.join(enough, "request_id", "left_semi")
+
+
 def similar_in_scope(requests: DataFrame, diagnostics: DataFrame, limit: int, scope: list[str]) -> DataFrame:
     """Best scoring other analyses per request.
 
+    A shared fingerprint and code alone reach the highest score there is, whatever the messages say, so of each
+    fingerprint and code the newest ``limit + 1`` analyses are looked at first. Only requests that do not find ``limit``
+    analyses there are compared by messages.
+
     Without a shared code or fingerprint a score cannot reach the threshold, so an equi-join on those keys
     loses nothing. Diagnostics with equal score-relevant fields score equally, so of each such group only
     the newest ``limit + 1`` analyses take part; the window limit is applied before its shuffle too.
     """
+    everyone, requests, sure = requests, *_certain(requests, diagnostics, limit, scope)
     signature = ["tool_kind", "fingerprint", "code", "category", "normalized_message"]
     newest = W.partitionBy(*signature, *scope).orderBy(F.desc("created_at"), "analysis_id")
     stored = diagnostics.select("analysis_id", "created_at", "seg", "message", *signature, *scope)
@@ -167,11 +204,8 @@ def similar_in_scope(requests: DataFrame, diagnostics: DataFrame, limit: int, sc
         .filter(_another())
         .filter(once)
     )
-    best = pairs.groupBy("request_id", "analysis_id").agg(
-        F.min(
-            F.struct((-F.col("score")).alias("s"), "seg", "created_at", "match_type", "message", "normalized_message")
-        ).alias("b")
-    )
+    best = _best(pairs).unionByName(sure)
+    requests = everyone
     ranked = W.partitionBy("request_id").orderBy("b.s", F.desc("b.created_at"), "analysis_id")
     top = (
         best.withColumn("position", F.row_number().over(ranked))

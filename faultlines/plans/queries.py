@@ -814,7 +814,7 @@ def his_get(spark, sf_dir):
 @query
 def his_related(spark, sf_dir):
     h = history(spark, sf_dir)
-    related = H.related_analyses(_requests_of(h), h["analyses"], 3, H.SCOPE)
+    related = H.related_analyses(_requests_of(h), h["analyses"], 3)
     return H.with_analysis_text(related, h["analyses"]).select(
         "request_id", "analysis_id", "position", lst("matching_fingerprints").alias("matching"), "tool_detected",
         "summary_text", ts("created_at").alias("created"),
@@ -840,40 +840,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _newest(h, spark) -> DataFrame:
-    return staged(K.newest_requests(_reference_requests(h, spark)), "requests")
-
-
-@query
-def sim_score(spark, sf_dir):
-    """Every stored diagnostic against the newest analysis of its tool, project and repository."""
-    h = history(spark, sf_dir)
-    asked = _newest(h, spark).select("request_id", "tool_kind", *H.SCOPE, "fingerprints", "codes", "categories", "query_tokens")
-    rows = h["diagnostics"].withColumn("own_tokens", tokens(F.col("normalized_message")))
-    joined = rows.join(asked, ["tool_kind", *H.SCOPE])
-    return H._scored(joined).select(
-        "request_id", "diagnostic_id", F.round("score", 6).alias("score"), "match_type"
-    )
-
-
-def _similar(h, spark) -> DataFrame:
-    return H.similar_analyses(_newest(h, spark), h["diagnostics"], C.KNOWLEDGE_SIMILAR, H.SCOPE)
-
-
-@query
-def sim_search(spark, sf_dir):
-    return _similar(history(spark, sf_dir), spark).select(
-        "request_id", "analysis_id", "position", "match_type", "match_score", "summary_text",
-        lst("matching_fingerprints").alias("matching_fingerprints"), lst("matching_codes").alias("matching_codes"),
-    )
-
-
 def _every(h, spark) -> DataFrame:
     return staged(_reference_requests(h, spark), "requests")
 
 
 @query
-def sim_score_all(spark, sf_dir):
+def sim_score(spark, sf_dir):
     """Every stored diagnostic against every analysis."""
     h = history(spark, sf_dir)
     return H.scored_diagnostics(_every(h, spark), h["diagnostics"]).select(
@@ -882,7 +854,7 @@ def sim_score_all(spark, sf_dir):
 
 
 @query
-def sim_search_all(spark, sf_dir):
+def sim_search(spark, sf_dir):
     """Similar analyses of every analysis."""
     h = history(spark, sf_dir)
     return H.similar_analyses(_every(h, spark), h["diagnostics"], C.KNOWLEDGE_SIMILAR).select(
@@ -978,7 +950,7 @@ def kno_patterns(spark, sf_dir):
 @query
 def kno_prior(spark, sf_dir):
     h = history(spark, sf_dir)
-    related = H.related_analyses(_reference_requests(h, spark), h["analyses"], C.KNOWLEDGE_PRIOR, H.SCOPE)
+    related = H.related_analyses(_reference_requests(h, spark), h["analyses"], C.KNOWLEDGE_PRIOR)
     return _references(K.prior_references(H.with_analysis_text(related, h["analyses"])))
 
 
@@ -999,26 +971,13 @@ def _knowledge_parts(h, spark, requests: DataFrame, scope: list[str] | None = No
 
 @query
 def kno_similar(spark, sf_dir):
-    h = history(spark, sf_dir)
-    return _references(_knowledge_parts(h, spark, _newest(h, spark), H.SCOPE)[-1])
-
-
-@query
-def kno_merge(spark, sf_dir):
-    h = history(spark, sf_dir)
-    merged = K.merge_references(_knowledge_parts(h, spark, _newest(h, spark), H.SCOPE))
-    return merged.select("request_id", "position", "id", "kind", "title", "summary")
-
-
-@query
-def kno_similar_all(spark, sf_dir):
     """References to similar analyses for every analysis."""
     h = history(spark, sf_dir)
     return _references(_knowledge_parts(h, spark, _every(h, spark))[-1])
 
 
 @query
-def kno_merge_all(spark, sf_dir):
+def kno_merge(spark, sf_dir):
     """Merged references of every analysis."""
     h = history(spark, sf_dir)
     merged = K.merge_references(_knowledge_parts(h, spark, _every(h, spark)))

@@ -328,7 +328,7 @@ cte(
     "prior",
     """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, analysis_id) AS INT) AS position FROM (
       SELECT a.log_id AS request_id, b.log_id AS analysis_id, any_value(b.created_at) AS created_at, array_to_string(list(b.fingerprint ORDER BY b.fingerprint), ' | ') AS matching
-      FROM log_fps a JOIN log_fps b ON a.fingerprint = b.fingerprint AND a.project_name = b.project_name AND a.repository = b.repository AND a.log_id <> b.log_id
+      FROM log_fps a JOIN log_fps b ON a.fingerprint = b.fingerprint AND (a.project_name IS NULL OR a.project_name = b.project_name) AND (a.repository IS NULL OR a.repository = b.repository) AND a.log_id <> b.log_id
       GROUP BY a.log_id, b.log_id)) WHERE position <= 3""",
     True,
 )
@@ -353,9 +353,9 @@ cte(
     True,
 )
 cte(
-    "newest",
+    "asked",
     f"""SELECT *, coalesce(list_distinct(flatten(list_transform(messages, lambda m: {tokens_sql('m')}))), []) AS query_tokens FROM (
-      SELECT *, row_number() OVER (PARTITION BY tool_kind, project_name, repository ORDER BY created_at DESC, request_id DESC) AS rn FROM kno_base) WHERE rn = 1""",
+      SELECT * FROM kno_base)""",
     True,
 )
 cte(
@@ -366,7 +366,7 @@ cte(
       SELECT n.request_id, d.log_id AS analysis_id, d.diagnostic_id, d.seg, d.created_at, d.message, d.fingerprint, d.code, d.category,
         list_contains(n.fingerprints, d.fingerprint) AS fph, list_contains(n.codes, d.code) AS ch, list_contains(n.categories, d.category) AS cah,
         len(list_intersect(d.toks, n.query_tokens)) AS ov, greatest(len(d.toks), len(n.query_tokens)) AS mx
-      FROM newest n JOIN (SELECT *, {tokens_sql('normalized_message')} AS toks FROM stored_diags) d ON d.parser_tool = n.tool_kind AND d.project_name = n.project_name AND d.repository = n.repository)""",
+      FROM asked n JOIN (SELECT *, {tokens_sql('normalized_message')} AS toks FROM stored_diags) d ON d.parser_tool = n.tool_kind AND (n.project_name IS NULL OR n.project_name = d.project_name) AND (n.repository IS NULL OR n.repository = d.repository))""",
     True,
 )
 oracle("sim_score", "SELECT request_id, diagnostic_id, round(score, 6) AS score, match_type FROM pair_scores WHERE score >= 0.45")
@@ -452,7 +452,7 @@ cte(
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, analysis_id) AS position FROM (
       SELECT a.request_id, b.log_id AS analysis_id, any_value(b.created_at) AS created_at, array_to_string(list(b.fingerprint ORDER BY b.fingerprint), ' | ') AS matching
       FROM (SELECT request_id, unnest(fingerprints) AS fingerprint, project_name, repository FROM kno_base) a
-      JOIN log_fps b ON a.fingerprint = b.fingerprint AND a.project_name = b.project_name AND a.repository = b.repository AND a.request_id <> b.log_id
+      JOIN log_fps b ON a.fingerprint = b.fingerprint AND (a.project_name IS NULL OR a.project_name = b.project_name) AND (a.repository IS NULL OR a.repository = b.repository) AND a.request_id <> b.log_id
       GROUP BY a.request_id, b.log_id)) WHERE position <= 3""",
     True,
 )
@@ -466,16 +466,16 @@ oracle("kno_docs_category", f"SELECT {_ref_cols} FROM ({_cat})")
 oracle("kno_rules", f"SELECT {_ref_cols} FROM ({rule_refs_sql('kno_base')})")
 oracle("kno_patterns", f"SELECT {_ref_cols} FROM ({pattern_refs_sql('kno_base')})")
 oracle("kno_prior", f"SELECT {_ref_cols} FROM ({_prior})")
-_ncode, _ncat = doc_refs_sql("newest")
-cte("new_rules", rule_refs_sql("newest"))
-cte("new_patterns", pattern_refs_sql("newest"))
-cte("new_prior", f"SELECT * FROM ({_prior}) WHERE request_id IN (SELECT request_id FROM newest)")
+_ncode, _ncat = doc_refs_sql("asked")
+cte("new_rules", rule_refs_sql("asked"))
+cte("new_patterns", pattern_refs_sql("asked"))
+cte("new_prior", f"SELECT * FROM ({_prior}) WHERE request_id IN (SELECT request_id FROM asked)")
 cte(
     "new_similar",
     """SELECT s.request_id, s.position - 1 AS ord, 'internal:analysis:similar:' || s.analysis_id AS id, 'prior-analysis' AS kind, 'internal' AS source, 'Similar persisted analysis' AS title,
       'Similar persisted analysis from ' || strftime(s.created_at, '%Y-%m-%d %H:%M') || ' UTC for ' || h.project_name || ' / ' || h.repository || '. ' || s.summary_text AS summary, NULL AS url, 'analysis' AS resource_type,
       CAST(s.analysis_id AS VARCHAR) AS resource_id, 'history | ' || lower(n.tool_kind) || ' | match:' || s.match_type || coalesce(' | ' || nullif(s.matching_codes, ''), '') AS tags
-      FROM similar_rows s JOIN hist h ON h.log_id = s.analysis_id JOIN newest n ON n.request_id = s.request_id
+      FROM similar_rows s JOIN hist h ON h.log_id = s.analysis_id JOIN asked n ON n.request_id = s.request_id
       WHERE (SELECT count(*) FROM (SELECT request_id FROM new_rules UNION ALL SELECT request_id FROM new_patterns UNION ALL SELECT request_id FROM new_prior) c WHERE c.request_id = s.request_id) < 8""",
 )
 oracle("kno_similar", f"SELECT {_ref_cols} FROM new_similar")
