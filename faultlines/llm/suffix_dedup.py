@@ -36,7 +36,7 @@ from faultlines.llm.common import bounded_batches, buckets_of, mix, parts_for, t
 
 PART_BYTES = 8 << 20
 CHUNK = 1 << 20
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
 LAST = (1 << 63) - 1
 
 
