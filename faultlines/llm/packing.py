@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlines.llm import bpe
-from faultlines.llm.common import bounded_batches, stored
+from faultlines.llm.common import bounded_batches, stored, trimmed
 
 BIN = 64
 DEPTH = 3
@@ -115,7 +115,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, window: int, id_col: str,
                 )
                 seat += len(flat)
 
-    return docs.select(id_col, text_col, F.spark_partition_id().alias("part")).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, F.spark_partition_id().alias("part")).mapInArrow(trimmed(run), schema)
 
 
 def _before(df: DataFrame, key: str, value: str) -> DataFrame:
