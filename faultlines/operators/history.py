@@ -331,7 +331,7 @@ def _filtered(narratives, tool, source, project_name, repository) -> DataFrame:
     return narratives
 
 
-def _search_values() -> dict[str, Column]:
+def search_values() -> dict[str, Column]:
     return {
         "summary": F.col("narrative_summary"),
         "groupSummaries": F.array_join(F.coalesce("group_summaries", F.array().cast("array<string>")), " "),
@@ -347,7 +347,7 @@ def _search_values() -> dict[str, Column]:
 def search_match(text: str) -> dict[str, Column]:
     """Score, matched fields in order and the first matched value for a search text."""
     needle = F.lit(text.strip().lower())
-    values = _search_values()
+    values = search_values()
     hits = {n: F.coalesce(F.contains(F.lower(values[n]), needle), F.lit(False)) for n, _ in C.SEARCH_FIELDS}
     total, first = F.lit(0), []
     for name, weight in C.SEARCH_FIELDS:

@@ -28,6 +28,7 @@ from faultlines.operators import project as J
 from faultlines.operators import rank as RK
 from faultlines.operators import rules as R
 from faultlines.operators import telemetry as TM
+from faultlines.operators import text_index as TI
 from faultlines.operators.detect import detect_tool, select_parser
 from faultlines.operators.extract import diagnostics, segment_stats, unparsed, with_order_index
 from faultlines.operators.segment import explode_segments, segment_logs
@@ -893,14 +894,25 @@ def nar_history(spark, sf_dir):
     return rows.select("analysis_id", "project_name", "repository", ts("created_at").alias("created"))
 
 
-@query
-def nar_search(spark, sf_dir):
-    rows = H.search_narratives(_document_narratives(spark, sf_dir), " EN ", 50)
+def _found_narratives(rows: DataFrame) -> DataFrame:
     return rows.select(
         "analysis_id", "score", lst("matched_fields").alias("fields"), "match_snippet", ts("created_at").alias("created")
     )
 
 
+@query
+def nar_search(spark, sf_dir):
+    return _found_narratives(H.search_narratives(_document_narratives(spark, sf_dir), " EN ", 50))
+
+
+@query
+def nar_search_index(spark, sf_dir):
+    """The same search through the trigram index of all narratives, which is written first."""
+    narratives, path = _document_narratives(spark, sf_dir), scratch(spark, "narrative-index")
+    TI.write_index(narratives, path)
+    return _found_narratives(TI.search(narratives, TI.open_index(spark, path), " License", 50))
+
+
 @query
 def nar_snippet(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", H.snippet(F.col("text"), "the ").alias("snippet"))
@@ -1272,6 +1284,23 @@ def str_telemetry(spark, sf_dir):
     )
 
 
+@query
+def str_windows(spark, sf_dir):
+    """Events arrive by ten days of arrival, each seventh eight days after its time; windows close two days behind."""
+    base, parts = scratch(spark, "str-windows"), 4
+    events = X.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    arrival = F.when(F.col("event_id") % 7 == 0, F.col("ts") + F.expr("INTERVAL 8 days")).otherwise(F.col("ts"))
+    days = F.floor(F.date_diff(arrival, F.lit("2024-01-01").cast("date")) / 10)
+    part = F.least(F.lit(parts - 1), F.greatest(F.lit(0), days))
+    for k in range(parts):
+        events.filter(part == k).write.mode("append").parquet(f"{base}/in")
+        _finish(ST.window_stream(ST.read_stream(spark, f"{base}/in", 1_000_000), f"{base}/out", f"{base}/cp", "2 days"))
+    total = lambda name: F.round(name, 4).alias(name)
+    return ST.window_table(spark, f"{base}/out", "2 days").select(
+        ts("window_start").alias("window_start"), "event_type", "closed", "on_time", total("on_time_total"), "late", total("late_total")
+    )
+
+
 @query
 def str_rule_hits(spark, sf_dir):
     base = scratch(spark, "str-rules")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from faultlines.operators import patterns as P
 from faultlines.operators import rules as R
+from faultlines.operators import text_index
 from faultlines.operators.extract import diagnostics, with_order_index
 from faultlines.operators.group import groups, group_rows
+from faultlines.operators.history import stored_narratives
 from faultlines.operators.privacy import stored_raw_content
 from faultlines.plans import analysis
 from faultlines.sources import intake, sinks
@@ -20,11 +22,11 @@ from faultlines.sources import intake, sinks
 TABLES = ["segments", "candidates", "analyses", "diagnostics", "groups", "rule_matches", "pattern_state", "snapshots"]
 
 
-def build_store(logs: DataFrame, rules: DataFrame, path: str, by_date: bool = False, unit: str = "month") -> None:
+def build_store(logs: DataFrame, rules: DataFrame, path: str, by_date: bool = False, unit: str = "month", search_index: bool = False) -> None:
     """Analyses the accepted logs that are to be persisted and writes all tables below ``path``.
 
     Admission writes the requests once, rejected ones apart; what follows reads the accepted ones from there, so logs
-    are assembled once.
+    are assembled once. ``search_index`` adds the trigram index of the narratives, for ``text_index.search``.
     """
     spark = logs.sparkSession
     kept = sinks.persisted_only(intake.admit(logs, f"{path}/requests").accepted)
@@ -53,6 +55,8 @@ def build_store(logs: DataFrame, rules: DataFrame, path: str, by_date: bool = Fa
     )
     sinks.write_table(P.fold_patterns(P.pattern_rows(candidates)), f"{path}/pattern_state")
     sinks.write_table(_documents(spark, path, rules), f"{path}/snapshots", created, unit=unit)
+    if search_index:
+        text_index.write_index(stored_narratives(spark.read.parquet(f"{path}/analyses")), f"{path}/narrative_index")
 
 
 def _documents(spark: SparkSession, path: str, rules: DataFrame) -> DataFrame:

@@ -398,15 +398,17 @@ def snippet_sql(x: str, needle: str) -> str:
       FROM (SELECT f, instr(lower(f), {q(needle)}) AS p FROM (SELECT trim(regexp_replace({x}, '[ \r\n\t]+', ' ', 'g')) AS f)))"""
 
 
-oracle(
-    "nar_search",
-    f"""SELECT analysis_id, score, fields, {snippet_sql('hit', 'en')} AS match_snippet, {ts('created_at')} AS created FROM (
+def narrative_search_sql(needle: str) -> str:
+    return f"""SELECT analysis_id, score, fields, {snippet_sql('hit', needle)} AS match_snippet, {ts('created_at')} AS created FROM (
       SELECT *, CASE WHEN s THEN 40 ELSE 0 END + CASE WHEN p THEN 10 ELSE 0 END + CASE WHEN r THEN 10 ELSE 0 END + CASE WHEN v THEN 5 ELSE 0 END AS score,
         array_to_string(list_filter([CASE WHEN s THEN 'summary' END, CASE WHEN p THEN 'projectName' END, CASE WHEN r THEN 'repository' END, CASE WHEN v THEN 'provider' END], lambda x: x IS NOT NULL), ' | ') AS fields,
         CASE WHEN s THEN summary WHEN p THEN project_name WHEN r THEN repository ELSE provider END AS hit FROM (
-        SELECT * FROM (SELECT *, contains(lower(summary), 'en') AS s, contains(lower(project_name), 'en') AS p, contains(lower(repository), 'en') AS r, coalesce(contains(provider, 'en'), false) AS v FROM doc_narr)
-        WHERE s OR p OR r OR v)) ORDER BY score DESC, created_at DESC, analysis_id LIMIT 50""",
-)
+        SELECT * FROM (SELECT *, contains(lower(summary), '{needle}') AS s, contains(lower(project_name), '{needle}') AS p, contains(lower(repository), '{needle}') AS r, coalesce(contains(provider, '{needle}'), false) AS v FROM doc_narr)
+        WHERE s OR p OR r OR v)) ORDER BY score DESC, created_at DESC, analysis_id LIMIT 50"""
+
+
+oracle("nar_search", narrative_search_sql("en"))
+oracle("nar_search_index", narrative_search_sql("license"))
 oracle("nar_snippet", f"SELECT doc_id, {snippet_sql('text', 'the')} AS snippet FROM documents")
 
 # ---------------------------------------------------------------- knowledge
@@ -563,6 +565,15 @@ oracle(
 )
 ORACLES["str_candidates"] = ORACLES["rul_apply"]
 oracle("str_telemetry", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS count, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+oracle(
+    "str_windows",
+    """WITH placed AS (SELECT *, date_trunc('day', ts) AS w, least(3, greatest(0, floor(date_diff('day', DATE '2024-01-01', CAST(CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 8 DAY ELSE ts END AS DATE)) / 10))) AS part FROM events),
+      marks AS (SELECT k, (SELECT max(ts) FROM placed WHERE part < k) - INTERVAL 2 DAY AS mark FROM range(5) AS r(k)),
+      flagged AS (SELECT placed.*, coalesce(w + INTERVAL 1 DAY <= mark, false) AS is_late FROM placed JOIN marks ON k = part)
+      SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, coalesce(w + INTERVAL 1 DAY <= (SELECT mark FROM marks WHERE k = 4), false) AS closed,
+        count(*) FILTER (NOT is_late) AS on_time, round(coalesce(sum(value) FILTER (NOT is_late), 0), 4) AS on_time_total,
+        count(*) FILTER (is_late) AS late, round(coalesce(sum(value) FILTER (is_late), 0), 4) AS late_total FROM flagged GROUP BY w, event_type""",
+)
 oracle("str_extract", "SELECT log_id, diagnostic_id, code, category, fingerprint FROM diags")
 
 # ---------------------------------------------------------------- enrichment: expected values straight from the text
