@@ -12,6 +12,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from faultlines.llm import bpe, fingerprints, jaccard_join, packing, secrets, suffix_dedup, token_counts
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -59,9 +61,28 @@ def test_fingerprints(docs, rows, none, clashing):
     assert sorted(str(r.doc_id) for r in fingerprints.fingerprint(clashing, samples=8).collect()) == ["1", "1", "None"]
 
 
-def test_gamma_quantiles_have_the_right_moments():
-    q = np.array(fingerprints.gamma_quantiles(1024))
+def test_gamma_draws_have_the_right_moments(spark):
+    q, c = np.array(fingerprints.gamma_quantiles(1024)), np.array(fingerprints.gamma_slices(1024))
     assert abs(q.mean() - 2) < 0.01 and abs(q.var() - 2) < 0.05
+    assert abs((1 / c).mean() - 1) < 1e-9 and (np.diff(c) > 0).all()
+    probabilities = [1 / 128, 1e-3, 1e-6, 1e-11]
+    rows = spark.createDataFrame([(p,) for p in probabilities], "q double").select("q", fingerprints.gamma_tail(F.col("q")).alias("x")).collect()
+    assert len(rows) == 4 and all(abs((1 + r.x) * np.exp(-r.x) / r.q - 1) < 1e-3 for r in rows)
+
+
+def test_long_texts_with_repeated_shingles_have_no_bias(spark):
+    rng, rows, exact = np.random.default_rng(5), [], []
+    for pair in range(6):
+        words = [f"w{v}" for v in rng.integers(0, 1 << 30, 18000)]
+        passage = words[:2000]
+        a, b = " ".join(words), " ".join(words + passage * (3 + pair))
+        left, right = Counter(shingles(a, 5)), Counter(shingles(b, 5))
+        exact.append(sum((left & right).values()) / sum((left | right).values()))
+        rows += [(pair, 0, a), (pair, 1, b)]
+    found = fingerprints.signatures(spark.createDataFrame(rows, "pair int, side int, text string").repartition(8), ["pair", "side"], "text", 512).collect()
+    signature = {(r.pair, r.side): np.array(r.signature) for r in found}
+    near = [(signature[i, 0] == signature[i, 1]).mean() for i in range(6)]
+    assert abs(np.mean(near) - np.mean(exact)) < 0.02, (near, exact)
 
 
 def check_packed(found, ids, window):
