@@ -2,22 +2,26 @@
 
 A rule matches when all its set triggers match, so the matched-condition list is a property of the rule.
 Small rule tables become literal predicates (``inline``): no join, constants folded, every regex compiled
-once. Larger ones are joined on their most selective trigger, in one pass over the targets. Rules whose regex does
-not compile are reported by ``bad_regexes`` and match nothing.
+once. Larger ones are joined on their most selective trigger; rules that have regexes but no selective equality are looked up
+by the literal that the regex needs. Rules whose regex does not compile are reported by ``bad_regexes`` and match nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from faultlines import constants as C
 from faultlines.functions.text import blank_to_null, ci_distinct, is_blank, lookup, text_lit, ws_trim
+from faultlines.operators.literals import needed, text_matches
 from faultlines.operators.sizing import fits
 from faultlines.sources.logs import parse_tool
 
 INLINE_RULES = 200
-SLICE_RULES = 20_000
+SPREAD = 32
 
 _TRIGGERS = [
     ("projectName", "project_name"),
@@ -370,37 +374,88 @@ def _hit_rows(df: DataFrame, rules: DataFrame, target: str, stored: bool) -> Dat
 
 def _match_keys(target: str) -> list[tuple[str, str, str]]:
     """Triggers that are equalities, most selective first: name, column of the rule, column of the target."""
+    scope = [("project", "project_name", "project_name"), ("repository", "repository", "repository")]
+    if target == "scope":
+        return scope
     if target == "group":
-        return [("fingerprint", "fingerprint", "fingerprint"), ("project", "project_name", "project_name"), ("repository", "repository", "repository")]
+        return [("fingerprint", "fingerprint", "fingerprint"), *scope]
     return [
-        ("fingerprint", "fingerprint", "fingerprint"), ("code", "code", "code"), ("project", "project_name", "project_name"),
-        ("repository", "repository", "repository"), ("category", "category", "category"), ("tool", "tool_kind", "parser_tool"),
-        ("severity", "severity", "severity"),
+        ("fingerprint", "fingerprint", "fingerprint"), ("code", "code", "code"), *scope, ("category", "category", "category"),
+        ("tool", "tool_kind", "parser_tool" if target == "diagnostic" else "tool_kind"), ("severity", "severity", "severity"),
     ]
 
 
-def keyed_hits(df: DataFrame, rules: DataFrame, target: str, stored: bool = True) -> DataFrame:
-    """Matches by an equi-join on each rule's most selective equality, the other triggers tested on what meets.
+_WIDE_KEYS = ["category", "tool", "severity"]
+
+
+def meetings(
+    df: DataFrame, rules: DataFrame, target: str, own_id: str, condition: Column, texts: dict[str, Column], found: list[Column]
+) -> DataFrame:
+    """Pairs of targets (alias d) and rules (alias r) for which ``condition`` holds, as the columns ``found``.
 
-    The targets are read once, however many rules there are. A target gives one key for each equality that some rule
-    may use; a rule with nothing but regexes meets every target on the empty key.
+    Each rule is looked up in one way: by its most selective equality; else by the literal of a regex over ``texts`` (column of the
+    rule to text of the target), once for each distinct text; else by category, tool or severity. Only rules of nothing but
+    regexes without a literal meet all targets, which ``SPREAD`` groups share. At most a dozen names of ways reach the driver;
+    a way that no rule takes is not planned.
     """
     keys = _match_keys(target)
 
     def key(name: str, value: Column) -> Column:
         return F.concat(F.lit(name + ":"), F.lower(ws_trim(value)))
 
-    chosen = F.coalesce(*[F.when(~is_blank(F.col(column)), key(name, F.col(column))) for name, column, _ in keys], F.lit(""))
-    given = F.array_distinct(F.array_compact(F.array(F.lit(""), *[key(name, F.col(own)) for name, _, own in keys])))
-    wanted = describe(usable(rules)).withColumn("rule_key", chosen)
-    used = wanted.select(F.split_part("rule_key", F.lit(":"), F.lit(1)).alias("k")).distinct().agg(F.collect_set("k").alias("used"))
-    offered = df.withColumn("given", given).crossJoin(F.broadcast(used)).withColumn(
-        "target_key", F.explode(F.filter("given", lambda k: F.array_contains("used", F.split_part(k, F.lit(":"), F.lit(1)))))
-    )
-    joined = offered.drop("given", "used").alias("d").join(
-        wanted.alias("r"), (F.col("d.target_key") == F.col("r.rule_key")) & _joined_predicate(target, stored)
-    )
-    return joined.select("d.log_id", "r.rule_id", "d.target_id", "d.fingerprint")
+    literals = {column: F.when(~is_blank(F.col(column)), needed(F.col(column))) for column in texts}
+    wanted = rules.withColumns({f"literal_{column}": literal for column, literal in literals.items()})
+    ways = [(name, F.when(~is_blank(F.col(column)), key(name, F.col(column)))) for name, column, _ in keys]
+    by_text = [(column, F.when(F.col(f"literal_{column}").isNotNull(), F.lit(column + ":"))) for column in texts]
+    narrow, wide = [w for w in ways if w[0] not in _WIDE_KEYS], [w for w in ways if w[0] in _WIDE_KEYS]
+    chosen = F.coalesce(*[w for _, w in [*narrow, *by_text, *wide]], F.lit(":"))
+    # a rule without any of these triggers meets nothing
+    some = [F.col("rule_key") != ":", *[~is_blank(F.col(column)) for column in texts]]
+    wanted = wanted.withColumn("rule_key", chosen).filter(reduce(or_, some)).withColumn("way", F.split_part("rule_key", F.lit(":"), F.lit(1)))
+    used = {r["way"] for r in wanted.select("way").distinct().collect()}
+
+    parts = []
+    given = [key(name, F.col(own)) for name, _, own in keys if name in used]
+    if given:
+        offered = df.withColumn("target_key", F.explode(F.array_compact(F.array(*given))))
+        parts.append(offered.alias("d").join(wanted.alias("r"), (F.col("d.target_key") == F.col("r.rule_key")) & condition))
+    if "" in used:
+        dealt = df.withColumn("target_group", F.pmod(F.xxhash64(own_id), F.lit(SPREAD)).cast("int"))
+        each = wanted.filter("way = ''").withColumn("rule_group", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        parts.append(dealt.alias("d").join(each.alias("r"), (F.col("d.target_group") == F.col("r.rule_group")) & condition))
+    for column, text in texts.items():
+        if column in used:
+            own = wanted.filter(F.col("way") == column)
+            patterns = own.select("rule_id", F.col(column).alias("pattern"), F.col(f"literal_{column}").alias("literal"))
+            pairs = text_matches(df.select(text.alias("text")), patterns).withColumnRenamed("rule_id", "pair_rule")
+            held = df.withColumn("target_text", text).join(pairs, F.col("target_text") == F.col("text")).drop("text", "target_text")
+            parts.append(held.alias("d").join(own.alias("r"), (F.col("d.pair_rule") == F.col("r.rule_id")) & condition))
+    if not parts:
+        return df.alias("d").join(wanted.alias("r"), F.lit(False)).select(*found)
+    result = parts[0].select(*found)
+    for part in parts[1:]:
+        result = result.unionByName(part.select(*found))
+    return result
+
+
+def keyed_hits(df: DataFrame, rules: DataFrame, target: str, stored: bool = True) -> DataFrame:
+    """Matches by ``meetings`` for any number of rules; df has the column target_id."""
+    texts = {}
+    if target == "diagnostic":
+        texts = {"message_regex": F.coalesce("normalized_message", "message"), "file_path_regex": F.coalesce(F.col("location.file_path"), F.lit(""))}
+    found = [F.col("d.log_id"), F.col("r.rule_id"), F.col("d.target_id"), F.col("d.fingerprint")]
+    return meetings(df, describe(usable(rules)), target, "target_id", _joined_predicate(target, stored), texts, found)
+
+
+def scope_hits(logs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(log_id, rule_id) of logs and rules whose project and repository, where the rule sets them, agree."""
+    scoped = usable(rules).filter(~is_blank(F.col("project_name")) | ~is_blank(F.col("repository")))
+
+    def same(column: str) -> Column:
+        return is_blank(F.col(f"r.{column}")) | (F.lower(ws_trim(F.col(f"d.{column}"))) == F.lower(ws_trim(F.col(f"r.{column}"))))
+
+    rows = logs.select("log_id", "project_name", "repository")
+    return meetings(rows, scoped, "scope", "log_id", same("project_name") & same("repository"), {}, [F.col("d.log_id"), F.col("r.rule_id")])
 
 
 def match_diagnostics(diags: DataFrame, rules: DataFrame, stored: bool = True) -> DataFrame:
@@ -552,11 +607,11 @@ def related_rules(contexts: DataFrame, rules: DataFrame, limit: int = C.RELATED_
     from pyspark.sql import Window as W
 
     def same(column: str, context: str) -> Column:
-        return F.lower(ws_trim(F.col(f"r.{column}"))) == F.lower(ws_trim(F.col(f"c.{context}")))
+        return F.lower(ws_trim(F.col(f"r.{column}"))) == F.lower(ws_trim(F.col(f"d.{context}")))
 
     def like(column: str, context: str) -> Column:
-        usable = ~is_blank(F.col(f"c.{context}"))
-        return usable & F.regexp_like(F.col(f"c.{context}"), F.concat(F.lit("(?Uid)"), F.col(f"r.{column}")))
+        usable = ~is_blank(F.col(f"d.{context}"))
+        return usable & F.regexp_like(F.col(f"d.{context}"), F.concat(F.lit("(?Uid)"), F.col(f"r.{column}")))
 
     tests = [
         ("fingerprint", "fingerprint", same("fingerprint", "fingerprint")),
@@ -579,20 +634,10 @@ def related_rules(contexts: DataFrame, rules: DataFrame, limit: int = C.RELATED_
     ranked = W.partitionBy("fingerprint").orderBy(
         F.desc("score"), F.desc("priority"), F.desc("match_count"), F.col("rule_name"), F.col("rule_id")
     )
-    enabled = usable(rules.filter("is_enabled"))
-    parts, slices = [], 1 if fits(enabled, SLICE_RULES) else -(-enabled.count() // SLICE_RULES)
-    for i in range(slices):
-        part = enabled if slices == 1 else enabled.filter(F.pmod(F.xxhash64("rule_id"), F.lit(slices)) == i)
-        parts.append(
-            contexts.alias("c")
-            .join(F.broadcast(part).alias("r"), condition & any_set)
-            .select(
-                F.col("c.fingerprint"), F.col("r.rule_id"), F.col("r.name").alias("rule_name"),
-                F.array_compact(F.array(*matched)).alias("matched_by"), score.alias("score"), "r.priority",
-                "r.match_count", "r.last_matched_at",
-            )
-        )
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.unionByName(part)
+    found = [
+        F.col("d.fingerprint"), F.col("r.rule_id"), F.col("r.name").alias("rule_name"), F.array_compact(F.array(*matched)).alias("matched_by"),
+        score.alias("score"), F.col("r.priority"), F.col("r.match_count"), F.col("r.last_matched_at"),
+    ]
+    texts = {"message_regex": F.col("canonical_message"), "file_path_regex": F.col("file_path")}
+    joined = meetings(contexts, usable(rules.filter("is_enabled")), "context", "fingerprint", condition & any_set, texts, found)
     return joined.withColumn("position", F.row_number().over(ranked)).filter(F.col("position") <= limit)

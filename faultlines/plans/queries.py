@@ -649,6 +649,14 @@ def rul_match_many(spark, sf_dir):
     return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("log_id").alias("logs"))
 
 
+@query
+def rul_match_regex(spark, sf_dir):
+    """As many rules of nothing but regexes as there are parts against all stored diagnostics."""
+    rows = history(spark, sf_dir)["segments"].filter("parsed").withColumn("target_id", F.col("diagnostic_id"))
+    hits = R.keyed_hits(rows, X.regex_rules(spark, sf_dir), "diagnostic")
+    return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("log_id").alias("logs"))
+
+
 @query
 def rul_match_group(spark, sf_dir):
     hits = R.match_groups(G.groups(G.group_rows(_segments(spark, sf_dir))), X.rules(spark))
@@ -657,10 +665,7 @@ def rul_match_group(spark, sf_dir):
 
 @query
 def rul_scope(spark, sf_dir):
-    rows = [r for r in R.local_rules(X.rules(spark)) if R.scope_predicate(r) is not None]
-    ids = F.array(*[F.lit(r["rule_id"]) for r in rows])
-    hits = R.inline_hits(rows, lambda rule, stored: F.coalesce(R.scope_predicate(rule), F.lit(False)))
-    return X.logs(spark, sf_dir).select("log_id", F.explode(F.transform(hits, lambda i: ids[i])).alias("rule_id"))
+    return R.scope_hits(X.logs(spark, sf_dir), X.rules(spark))
 
 
 @query

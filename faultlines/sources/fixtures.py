@@ -110,6 +110,19 @@ SELECT p_partkey AS rule_id, 'part rule ' || CAST(p_partkey AS STRING) AS name,
 FROM {part}
 """
 
+# Rules of nothing but regexes: with a literal in the message (two kinds) or the path, or, one in fifty, without a literal.
+REGEX_RULES_SQL = """
+SELECT p_partkey AS rule_id, 'regex rule ' || CAST(p_partkey AS STRING) AS name, p_partkey % 7 <> 3 AS is_enabled,
+       CAST(p_size AS INT) AS priority, CAST(NULL AS STRING) AS tool_kind, CAST(NULL AS STRING) AS code, CAST(NULL AS STRING) AS severity,
+       CAST(NULL AS STRING) AS category,
+       CASE WHEN p_partkey % 50 = 8 THEN '(plugin|package) ' || CAST(p_partkey % 11 AS STRING) WHEN p_partkey % 3 = 0 THEN 'find +PACKAGE ' || CAST(p_partkey % 400 AS STRING) || '$'
+         WHEN p_partkey % 3 = 1 THEN '(plug)?in ' || CAST(p_partkey % 400 AS STRING) || ' failed' ELSE NULL END AS message_regex,
+       CASE WHEN p_partkey % 50 <> 8 AND p_partkey % 3 = 2 THEN 'SRC/[ab]?a' || CAST(p_partkey % 400 AS STRING) || '[.]ts+$' ELSE NULL END AS file_path_regex,
+       CAST(NULL AS STRING) AS fingerprint, CAST(NULL AS STRING) AS project_name, CAST(NULL AS STRING) AS repository, p_name AS title,
+       CAST(NULL AS STRING) AS explanation, CAST(NULL AS STRING) AS suggested_fix, 0.01 AS confidence_adjustment, false AS mark_primary
+FROM {part}
+"""
+
 _OVERSIZE: dict[tuple[str, str, int], bool] = {}
 
 
@@ -213,6 +226,10 @@ def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_columns(spark.sql(MANY_RULES_SQL, part=table(spark, sf_dir, "part")))
 
 
+def regex_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_columns(spark.sql(REGEX_RULES_SQL, part=table(spark, sf_dir, "part")))
+
+
 def rule_columns(flat: DataFrame) -> DataFrame:
     extra = {
         "suggested_fixes": F.array_compact(F.array("suggested_fix")),

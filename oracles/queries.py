@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from faultlines import constants as C
-from faultlines.sources.fixtures import DRAFTS_SQL, MANY_RULES_SQL
+from faultlines.sources.fixtures import DRAFTS_SQL, MANY_RULES_SQL, REGEX_RULES_SQL
 from oracles.base import (
     CTES, _alias, _ordered_distinct, apps_sql, build, by_text, case, collapse, cte, detection_sql, normalize_dotnet,
     normalize_js, normalize_python, normalize_tsc, nz, parser_sql, patterns_sql, q, rx, slashes, str_list, sub, trim,
@@ -259,6 +259,15 @@ oracle(
       AND (m.repository IS NULL OR lower(m.repository) = lower(d.repository)) AND (m.message_regex IS NULL OR contains(lower(coalesce(d.normalized_message, d.message)), m.message_regex))
       WHERE m.is_enabled GROUP BY m.rule_id""",
 )
+oracle(
+    "rul_match_regex",
+    f"""SELECT m.rule_id, count(*) AS hits, count(DISTINCT d.log_id) AS logs FROM (
+        SELECT *, CAST(rule_id % 11 AS VARCHAR) AS a, CAST(rule_id % 400 AS VARCHAR) AS b FROM ({REGEX_RULES_SQL.replace("{part}", "part")}) WHERE is_enabled) m
+      JOIN (SELECT *, lower(coalesce(normalized_message, message)) AS t, lower(coalesce(file_path, '')) AS f FROM stored_diags) d
+      ON CASE WHEN rule_id % 50 = 8 THEN contains(t, 'plugin ' || a) OR contains(t, 'package ' || a) WHEN rule_id % 3 = 0 THEN ends_with(t, 'find package ' || b)
+        WHEN rule_id % 3 = 1 THEN contains(t, 'in ' || b || ' failed') ELSE ends_with(f, 'src/a' || b || '.ts') END
+      GROUP BY m.rule_id""",
+)
 oracle(
     "rul_regex",
     """SELECT page_id AS rule_id, 'conditions.messageRegex' AS field, 'The regex pattern is invalid.' AS message FROM pages WHERE page_id % 2 = 1

@@ -13,7 +13,7 @@ import check  # noqa: E402
 
 QUICK = [
     "src_validate", "src_context", "det_parser", "seg_dotnet", "seg_tsc", "seg_stats", "ext_all", "nrm_python", "grp_fingerprint",
-    "rnk_candidates", "nar_summary", "prj_single", "rul_apply", "rul_related", "pat_merge", "his_related", "sim_score", "sim_search", "kno_similar", "kno_merge", "src_rejected",
+    "rnk_candidates", "nar_summary", "prj_single", "rul_apply", "rul_related", "rul_scope", "rul_match_many", "rul_match_regex", "pat_merge", "his_related", "sim_score", "sim_search", "kno_similar", "kno_merge", "src_rejected",
     "sink_snapshot", "sink_gate", "his_get", "prj_build_log", "prv_retention", "prv_retention_apply",
     "prv_redact_raw", "prv_delete", "tel_metric_tags", "enr_narrative", "str_telemetry", "str_windows", "nar_search", "nar_search_index",
 ]
