@@ -65,9 +65,9 @@ def test_gamma_draws_have_the_right_moments(spark):
     q, c = np.array(fingerprints.gamma_quantiles(1024)), np.array(fingerprints.gamma_slices(1024))
     assert abs(q.mean() - 2) < 0.01 and abs(q.var() - 2) < 0.05
     assert abs((1 / c).mean() - 1) < 1e-9 and (np.diff(c) > 0).all()
-    probabilities = [1 / 128, 1e-3, 1e-6, 1e-11]
-    rows = spark.createDataFrame([(p,) for p in probabilities], "q double").select("q", fingerprints.gamma_tail(F.col("q")).alias("x")).collect()
-    assert len(rows) == 4 and all(abs((1 + r.x) * np.exp(-r.x) / r.q - 1) < 1e-3 for r in rows)
+    shares, tail = [1.0, 0.1, 1e-3, 1e-5, 1e-9], fingerprints.TAIL / fingerprints.QUANTILES
+    rows = spark.createDataFrame([(p,) for p in shares], "q double").select("q", fingerprints.gamma_tail(F.col("q")).alias("x")).collect()
+    assert len(rows) == 5 and all(abs((1 + r.x) * np.exp(-r.x) / (r.q * tail) - 1) < 0.03 for r in rows)
 
 
 def test_long_texts_with_repeated_shingles_have_no_bias(spark):
