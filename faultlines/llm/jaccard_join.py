@@ -3,13 +3,15 @@
 Bands. Set sizes fall into bands such that linked sets lie in one band or in neighbours. For the pairs whose smaller
 set lies in band s, the sets differ in at most k(s) shingles. The hash space is cut into more than k(s) slices, so the
 two sets agree on at least one slice entirely. The digest of a slice is a tile key; only sets of one tile are compared.
-Slices that are empty agree without saying anything: there are as many spare slices as a set may have empty ones,
-and a set with more of those gives keys for them too. No key is dropped, so no link is lost.
+Slices that are empty agree without saying anything: there are as many spare slices as a set may have empty ones.
+Two sets that agree on empty slices only have both more empty ones than that. Such sets are sliced again by another
+hash, where the same holds, and only after ``LEVELS`` hashes give keys for their empty slices. A key of an empty slice would put all
+such sets of a band in one tile. No key is dropped, so no link is lost.
 
 Tiles. Every set of a tile is first tested against one other (the smallest id it shares most tiles with). After
-these links are merged, only tiles with sets of different components remain; they are cut into blocks of bounded
-size, and within a block sorted by set size the bitmaps are compared: a bit of one that the other lacks is a shingle
-the other lacks, so the overlap is at most the size less those bits. What passes is intersected exactly.
+these links are merged, only tiles with sets of different components remain; they are cut into blocks of bounded size, and within a block sorted by set size the bitmaps are compared: a bit
+of one that the other lacks is a shingle the other lacks, so the overlap is at most the size less those bits. Near copies share
+many tiles, so what passes is gathered as one row for each set and task, and again by set, before it is intersected exactly.
 
 Equal sets are one node to each task. Null, blank and empty texts have an empty set and no links; texts with fewer
 words than the shingle have one shingle; rows that repeat an id are one node with the links of all of them; rows without
@@ -18,6 +20,7 @@ an id keep their count and get no component. Only the id and text columns are re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ KEY_BYTES = 12
 PART_BYTES = 6 << 20
 BLOCK = 2048
 HELD_KEYS = 600_000
+LEVELS = 12
+HELD_PAIRS = 500_000
 
 
 def bands(largest: int, num: int, den: int) -> np.ndarray:
@@ -44,9 +49,10 @@ def bands(largest: int, num: int, den: int) -> np.ndarray:
 
 
 def _slices(low: np.ndarray, s: int, num: int, den: int) -> tuple[int, int]:
-    """Number of slices of scheme s and how many of them may be empty; 0 where only equal sets link."""
+    """Number of slices of scheme s and how many of them may be empty; 0 where only equal sets link. The smallest set of
+    a band has most empty slices: a little more than it has on average."""
     k = (den - num) * (int(low[s + 1]) - 1) // num
-    spare = 0 if k < 4 else 1 + k // 40
+    spare = 0 if k < 4 else 1 + int(1.25 * k * math.exp(-int(low[s]) / (k + 1)))
     return (k + 1 + spare, spare) if k else (0, 0)
 
 
@@ -56,17 +62,20 @@ def tile_keys(h: np.ndarray, low: np.ndarray, num: int, den: int) -> np.ndarray:
     found = []
     for s in (own, own - 1):
         n, spare = _slices(low, s, num, den) if s >= 0 else (0, 0)
-        if not n:
-            continue
-        at = buckets_of(h, n)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        digest = np.add.reduceat(mix(h, 7), first)
-        index = at[first].astype(np.uint64)
-        if n - len(first) > spare:
-            empty = np.setdiff1d(np.arange(n, dtype=np.uint64), index)
-            index, digest = np.concatenate([index, empty]), np.concatenate([digest, np.zeros(len(empty), np.uint64)])
-        key = mix(digest ^ mix(index * np.uint64(1 << 20) + np.uint64(s), 11))
-        found.append((key & ~np.uint64(1)) | np.uint64(s == own))
+        for level in range(LEVELS if n else 0):
+            dealt = np.sort(mix(h, 100 + level)) if level else h
+            at = buckets_of(dealt, n)
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            digest = np.add.reduceat(mix(dealt, 7), first)
+            index = at[first].astype(np.uint64)
+            more = n - len(first) > spare
+            if more and level == LEVELS - 1:
+                empty = np.setdiff1d(np.arange(n, dtype=np.uint64), index)
+                index, digest = np.concatenate([index, empty]), np.concatenate([digest, np.zeros(len(empty), np.uint64)])
+            key = mix(digest ^ mix((index << np.uint64(20)) + np.uint64(level << 56 | s), 11))
+            found.append((key & ~np.uint64(1)) | np.uint64(s == own))
+            if not more:
+                break
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -252,7 +261,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
 
 
 def _tile_pairs(members: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in one tile whose bitmaps allow a link. members: tile, id, comp, rows of the tile."""
+    """Pairs (a, b) of different components in one tile whose bitmaps allow a link, each once. members: tile, id, comp, rows of
+    the tile."""
     blocks = F.expr(f"cast(ceil(rows / {BLOCK}) as int)")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     spread = (
@@ -261,13 +271,13 @@ def _tile_pairs(members: DataFrame, bitmaps: DataFrame, num: int, den: int) -> D
         .select("tile", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"), "n", "id", "comp", "bits")
     )
 
-    def block(rows: list[tuple]) -> tuple[list[int], list[int]]:
+    def block(rows: list[tuple], near: dict[int, set[int]]) -> int:
         split = rows[0][1] != rows[0][2]
         n = np.array([r[4] for r in rows])
         left, ids, comp = np.array([r[3] for r in rows]), np.array([r[5] for r in rows]), np.array([r[6] for r in rows])
         bits = folded([r[7] for r in rows])
         ends = np.searchsorted(n, n * den // num, side="right")
-        a, b = [], []
+        met = 0
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, ends[i])
             j = j[(comp[j] != comp[i]) & ((left[j] != left[i]) | (not split))]
@@ -276,26 +286,39 @@ def _tile_pairs(members: DataFrame, bitmaps: DataFrame, num: int, den: int) -> D
                 ok = n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64) >= need
                 j, need = j[ok], need[ok]
                 j = j[n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64) >= need]
-                a += np.minimum(ids[i], ids[j]).tolist()
-                b += np.maximum(ids[i], ids[j]).tolist()
-        return a, b
+                own = int(ids[i])
+                for other in ids[j].tolist():
+                    near.setdefault(min(own, other), set()).add(max(own, other))
+                met += len(j)
+        return met
+
+    def listed(near: dict[int, set[int]]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(list(near), pa.int64()), pa.array([sorted(v) for v in near.values()], pa.list_(pa.int64()))], ["a", "near"]
+        )
+        near.clear()
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        near: dict[int, set[int]] = {}
+        met = 0
         for batch in batches:
-            a, b = [], []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][:3] != row[:3]:
-                    x, y = block(held)
-                    a, b, held = a + x, b + y, []
+                    met += block(held, near)
+                    held = []
+                    if met > HELD_PAIRS:
+                        yield listed(near)
+                        met = 0
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if held:
-            x, y = block(held)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+            block(held, near)
+        yield listed(near)
 
     dealt = spread.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y", "n", "id")
-    return dealt.mapInArrow(trimmed(run), "a bigint, b bigint").distinct()
+    found = dealt.mapInArrow(trimmed(run), "a bigint, near array<bigint>").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    return found.select("a", F.explode("near").alias("b"))
 
 
 def join(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

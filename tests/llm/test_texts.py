@@ -351,3 +351,17 @@ def test_secret_scan(docs, rows, none, clashing):
     assert redacted.columns == docs.columns
     assert not any("0123456789abcdef0123456789abcdef" in (r.text or "") for r in redacted.collect())
     assert secrets.redact(clashing).columns == clashing.columns
+
+
+def test_sets_with_many_empty_slices_share_no_tile_by_them():
+    rng, low = np.random.default_rng(3), jaccard_join.bands(400, 80, 100)
+    keys = [jaccard_join.tile_keys(np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)), low, 80, 100) for n in range(200, 300)]
+    assert len(np.unique(np.concatenate(keys) >> np.uint64(1))) == sum(map(len, keys))
+
+
+def test_jaccard_pairs_of_many_tiles_come_once(spark):
+    same = [jaccard_join.bitmap(np.arange(40 + i % 2).astype(np.uint64)) for i in range(6)]
+    bitmaps = spark.createDataFrame([(i, 40 + i % 2, same[i]) for i in range(6)], "id bigint, n bigint, bits binary")
+    members = spark.createDataFrame([(t, i, i % 3, 6) for t in range(50) for i in range(6)], "tile bigint, id bigint, comp bigint, rows bigint")
+    found = jaccard_join._tile_pairs(members, bitmaps, 80, 100).collect()
+    assert sorted(map(tuple, found)) == [(a, b) for a in range(6) for b in range(a + 1, 6) if a % 3 != b % 3]
