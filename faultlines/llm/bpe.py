@@ -7,7 +7,8 @@ pairs of higher rank, because the parts of every merge were made by earlier ones
 
 Text rules are those of the vocabulary file: special tokens are cut out first, then NFC, white space and lower case
 are normalised, and pieces between white space are split into words. Null and empty texts give no ids. Texts of any
-length are encoded whole. A worker keeps the ids of the pieces it has met, up to a fixed number.
+length are encoded whole. A worker keeps the ids of the pieces it has met, up to a fixed number. ``encode`` hands them out
+piece by piece, ``encode_flat`` numbers the pieces and gathers the ids of a block of texts in one array.
 """
 
 from __future__ import annotations
@@ -16,20 +17,23 @@ import gc
 import heapq
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from faultlines.llm.common import bounded_batches
+from faultlines.llm.common import bounded_batches, holds
 
 # In these texts, Python's lower case and white space are those of the vocabulary's normaliser, and NFC changes nothing.
 _PLAIN = re.compile("[\t-\r\x20-~\xa0-įı-ɏ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-ɏ]+")
 CACHE_PIECES = 500_000
 CACHE_LENGTH = 64
+CACHE_IDS = 4_000_000
 BLOCK = 2500
 
 
@@ -40,6 +44,14 @@ def _byte_marks() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
+def _gathered(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of these rows one after the other, and how many each has; row i is flat[bounds[i] : bounds[i + 1]]."""
+    sizes = np.diff(bounds)[rows]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(bounds[:-1][rows] - (ends - sizes), sizes) + np.arange(total)], sizes
+
+
 class PairIndexBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -63,6 +75,7 @@ class PairIndexBpe:
         keys = np.array([a << 32 | b for a, b, _ in self.made], np.int64)
         self.key_ranks = np.argsort(keys)
         self.keys = keys[self.key_ranks]
+        self._start_anew([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
         self.pieces: dict[str, bytes] = {}
         self.shown: dict[bytes, str] = {}
 
@@ -74,8 +87,14 @@ class PairIndexBpe:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word (not empty) as little-endian 32-bit integers."""
+        flat, cuts = self.words_flat(words)
+        ids = flat.tobytes()
+        return [ids[4 * x : 4 * y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def words_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (not empty) in one array, and where each word's ids begin (words + 1 values)."""
         if not words:
-            return []
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         raw = [w.encode() for w in words]
         ends = np.cumsum([len(r) for r in raw])
         flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -134,9 +153,7 @@ class PairIndexBpe:
             both = self._ranks(np.concatenate([sym[x], sym[y]]), np.concatenate([sym[p[left >= 0]], sym[r[right]]]))
             listed(both, np.concatenate([x, y]))
         kept = sym >= 0
-        ids = sym[kept].astype("<u4").tobytes()
-        cuts = np.concatenate([[0], np.cumsum(kept)[ends - 1]]).tolist()
-        return [ids[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])]
+        return sym[kept].astype("<u4"), np.concatenate([[0], np.cumsum(kept)[ends - 1]])
 
     def _plain_words(self, piece: str) -> list[str]:
         return _WORDS.findall(piece)
@@ -194,6 +211,78 @@ class PairIndexBpe:
         known.update((p, v) for p, v in fresh.items() if len(p) <= CACHE_LENGTH)
         return out
 
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text's ids begin (texts + 1 values)."""
+        running = gc.isenabled()
+        gc.disable()
+        try:
+            ends, pieces = np.zeros(len(texts) + 1, np.int64), []
+            for i, t in enumerate(texts):
+                if t:
+                    pieces += self._plan(t)
+                ends[i + 1] = len(pieces)
+            met = len(self._number)
+            # a piece without a number gets the next one
+            numbers = np.fromiter(map(self._number.__getitem__, pieces), np.int64, len(pieces))
+            del pieces
+            self._learn(met)
+            ids, sizes = _gathered(self._flat, self._bounds, numbers)
+            if len(self._number) > CACHE_PIECES or len(self._flat) > CACHE_IDS:
+                self._keep(np.unique(numbers[numbers < met]))
+            return ids, np.concatenate([[0], np.cumsum(sizes)])[ends]
+        finally:
+            if running:
+                gc.enable()
+
+    def _start_anew(self, pieces: list[str | bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Numbers of these pieces, and their ids one after the other."""
+        self._number = defaultdict(count(len(pieces)).__next__, zip(pieces, range(len(pieces))))
+        self._flat, self._bounds = flat, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _keep(self, numbers: np.ndarray) -> None:
+        """Forgets all pieces but these; when the worker has met too many, those that it meets again stay."""
+        numbers = numbers[np.diff(self._bounds)[numbers] <= CACHE_LENGTH][: CACHE_PIECES // 2]
+        pieces = list(self._number)
+        self._start_anew([pieces[i] for i in numbers.tolist()], *_gathered(self._flat, self._bounds, numbers))
+
+    def _learn(self, met: int) -> None:
+        """Ids of the pieces from number ``met`` on. Pieces of several words are put together from those of their words, which get numbers
+        too."""
+        number = self._number
+        whole, parts, owner = [], [], []
+        for piece in list(islice(number, met, None)):
+            words = [piece] if type(piece) is bytes or not _PLAIN.fullmatch(piece) else self._plain_words(piece)
+            if len(words) == 1 and words[0] == piece:
+                whole.append(piece)
+            else:
+                fresh = [w for w in words if w not in number]
+                parts += [number[w] for w in words]
+                owner += [number[piece]] * len(words)
+                whole += dict.fromkeys(fresh)
+        new = len(number) - met
+        at = np.array([number[w] for w in whole], np.int64) - met
+        special = np.array([type(w) is bytes for w in whole], bool)
+        flat, cuts = self.words_flat([w for w in whole if type(w) is str])
+        names = np.array([int.from_bytes(w, "little") for w in whole if type(w) is bytes], np.uint32)
+        sizes, first = np.zeros(new, np.int64), np.zeros(new, np.int64)
+        sizes[at[~special]], first[at[~special]] = np.diff(cuts), cuts[:-1]
+        sizes[at[special]], first[at[special]] = 1, len(flat) + np.arange(len(names))
+        flat = np.concatenate([flat, names])
+        # ids of single words, in order of their numbers; pieces of several words have none yet
+        base = np.concatenate([[0], np.cumsum(sizes)])
+        alone = flat[np.repeat(first - base[:-1], sizes) + np.arange(base[-1])]
+        held = np.concatenate([self._flat, alone])
+        bounds = np.concatenate([self._bounds, self._bounds[-1] + base[1:]])
+        if parts:
+            parts, owner = np.array(parts, np.int64), np.array(owner, np.int64)
+            joined, lengths = _gathered(held, bounds, parts)
+            np.add.at(sizes, owner - met, lengths)
+            order = np.argsort(np.concatenate([np.repeat(np.arange(new), np.diff(base)), np.repeat(owner - met, lengths)]), kind="stable")
+            alone = np.concatenate([alone, joined])[order]
+            held = np.concatenate([self._flat, alone])
+            bounds = np.concatenate([self._bounds, self._bounds[-1] + np.cumsum(sizes)])
+        self._flat, self._bounds = held, bounds
+
     def decode(self, pieces: list[bytes]) -> str:
         """Tokens joined by blanks: the vocabulary file names no decoder."""
         shown, tokens, out = self.shown, self.tokens, []
@@ -208,10 +297,12 @@ class PairIndexBpe:
 
 
 _LOADED: dict[str, PairIndexBpe] = {}
+HELD = "bpe"
 
 
 def loaded(path: str) -> PairIndexBpe:
-    """One encoder for each vocabulary file and worker process."""
+    """One encoder for each vocabulary file and worker process, as long as the worker encodes."""
+    holds(HELD, _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = PairIndexBpe(path)
     return _LOADED[path]

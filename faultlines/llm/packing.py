@@ -96,26 +96,28 @@ def _encoded(docs: DataFrame, path: str, end_id: int, window: int, id_col: str,
         for batch in batches:
             for at in range(0, batch.num_rows, bpe.BLOCK):
                 piece = batch.slice(at, bpe.BLOCK)
-                end = int(end_id).to_bytes(4, "little")
-                flat = [b"".join([*x, end]) for x in encoder.encode(piece.column(1).to_pylist())]
-                tokens = np.array([len(x) // 4 for x in flat], np.int64)
+                ids, cuts = encoder.encode_flat(piece.column(1).to_pylist())
+                ids = np.insert(ids, cuts[1:], end_id).astype("<u2" if small else "<u4")
+                cuts += np.arange(len(cuts))
+                tokens = np.diff(cuts)
                 rest = tokens % window
                 bin_ = -(-rest // BIN)
-                rank = np.empty(len(flat), np.int64)
+                rank = np.empty(len(tokens), np.int64)
                 for b in np.unique(bin_):
                     own = np.flatnonzero(bin_ == b)
                     rank[own] = seen[b] + np.arange(len(own))
                     seen[b] += len(own)
-                packed = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if small else x for x in flat]
+                offsets = pa.py_buffer((cuts * ids.itemsize).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(tokens), [None, offsets, pa.py_buffer(ids)])
                 part = piece.column(2)
                 yield pa.RecordBatch.from_arrays(
-                    [part, pa.array(seat + np.arange(len(flat))), piece.column(0), pa.array(packed, pa.binary()), pa.array(tokens),
+                    [part, pa.array(seat + np.arange(len(tokens))), piece.column(0), packed, pa.array(tokens),
                      pa.array(rest.astype(np.int32)), pa.array(bin_.astype(np.int32)), pa.array(rank)],
                     ["part", "seat", id_col, "ids", "tokens", "rest", "bin", "rank"],
                 )
-                seat += len(flat)
+                seat += len(tokens)
 
-    return docs.select(id_col, text_col, F.spark_partition_id().alias("part")).mapInArrow(trimmed(run), schema)
+    return docs.select(id_col, text_col, F.spark_partition_id().alias("part")).mapInArrow(trimmed(run, keep=bpe.HELD), schema)
 
 
 def _before(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -260,4 +262,4 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = 4096, id_col: st
                 [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return held.select("part", "seat", id_col, "ids", "tokens").join(wanted, ["part", "seat"]).mapInArrow(run, schema)
+    return held.select("part", "seat", id_col, "ids", "tokens").join(wanted, ["part", "seat"]).mapInArrow(trimmed(run), schema)

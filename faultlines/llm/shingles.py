@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from faultlines.llm.common import mix, text_values
+from faultlines.llm.common import holds, mix, text_values
 
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -27,6 +27,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             for name, base in (("up", BASE), ("down", INVERSE)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
+                holds("shingles", _POWERS.clear)
                 _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS["up"], _POWERS["down"]
 

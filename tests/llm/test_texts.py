@@ -14,7 +14,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from faultlines.llm import bpe, fingerprints, jaccard_join, packing, secrets, suffix_dedup, token_counts
+from faultlines.llm import bpe, common, fingerprints, jaccard_join, packing, secrets, suffix_dedup, token_counts
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -365,3 +365,22 @@ def test_jaccard_pairs_of_many_tiles_come_once(spark):
     members = spark.createDataFrame([(t, i, i % 3, 6) for t in range(50) for i in range(6)], "tile bigint, id bigint, comp bigint, rows bigint")
     found = jaccard_join._tile_pairs(members, bitmaps, 80, 100).collect()
     assert sorted(map(tuple, found)) == [(a, b) for a in range(6) for b in range(a + 1, 6) if a % 3 != b % 3]
+
+
+def test_flat_encoding(rows, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 20)
+    texts = [*(t for _, t in rows), None, "", " ", "a <|endoftext|> b<|startoftext|><|ENDOFTEXT|> c", "don't DON'T x1,000 \u00c9\u6f22 " + "z" * 300]
+    own = bpe.PairIndexBpe(WORD)
+    for _ in range(3):
+        for at in range(0, len(texts), 7):
+            ids, cuts = own.encode_flat(texts[at : at + 7])
+            for t, a, b in zip(texts[at : at + 7], cuts.tolist(), cuts[1:].tolist()):
+                assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids
+        assert len(own._flat) == own._bounds[-1] and len(own._number) == len(own._bounds) - 1
+
+
+def test_a_worker_keeps_the_encoder_for_encoding_only():
+    encode, other = common.trimmed(iter, keep=bpe.HELD), common.trimmed(iter)
+    held = bpe.loaded(WORD)
+    assert list(encode([1])) == [1] and bpe.loaded(WORD) is held
+    assert list(other([1])) == [1] and not bpe._LOADED
