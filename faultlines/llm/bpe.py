@@ -8,7 +8,9 @@ pairs of higher rank, because the parts of every merge were made by earlier ones
 Text rules are those of the vocabulary file: special tokens are cut out first, then NFC, white space and lower case
 are normalised, and pieces between white space are split into words. Null and empty texts give no ids. Texts of any
 length are encoded whole. A worker keeps the ids of the pieces it has met, up to a fixed number. ``encode`` hands them out
-piece by piece, ``encode_flat`` numbers the pieces and gathers the ids of a block of texts in one array.
+piece by piece, ``encode_flat`` numbers the pieces and gathers the ids of a block of texts in one array. Arrow splits its
+plain texts, each distinct piece of a block is looked up once, and short words it has not met are merged in rounds: the pairs of
+least rank of every word at once, which gives each word the same merges in the same order as the index.
 """
 
 from __future__ import annotations
@@ -23,18 +25,23 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from faultlines.llm.common import bounded_batches, holds
+from faultlines.llm.common import bounded_batches, holds, text_values
 
 # In these texts, Python's lower case and white space are those of the vocabulary's normaliser, and NFC changes nothing.
 _PLAIN = re.compile("[\t-\r\x20-~\xa0-įı-ɏ]*")
+_PLAIN_ARROW = r"\A[\t-\r\x20-~\x{a0}-\x{12f}\x{131}-\x{24f}]*\z"
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-ɏ]+")
+_WORDS_OR_BLANK = re.compile(_WORDS.pattern + "| ")
 CACHE_PIECES = 500_000
 CACHE_LENGTH = 64
 CACHE_IDS = 4_000_000
 BLOCK = 2500
+SHORT = 64
+NO_RANK = (1 << 31) - 1
 
 
 def _byte_marks() -> list[str]:
@@ -73,6 +80,7 @@ class PairIndexBpe:
             born[new] = rank
             self.made.append((a, b, new))
         keys = np.array([a << 32 | b for a, b, _ in self.made], np.int64)
+        self.new = np.array([new for _, _, new in self.made])
         self.key_ranks = np.argsort(keys)
         self.keys = keys[self.key_ranks]
         self._start_anew([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -155,6 +163,65 @@ class PairIndexBpe:
         kept = sym >= 0
         return sym[kept].astype("<u4"), np.concatenate([[0], np.cumsum(kept)[ends - 1]])
 
+    def short_words_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """words_flat for many words of few symbols each: in every round the pairs of least rank of each word are merged, in all words at once. A
+        round visits every symbol that is left, so long words go to the pair index."""
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        flat, bounds = text_values(pa.array(words, pa.large_string()))
+        sizes = np.diff(bounds)
+        sym, of = self.first[flat], np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        sym[bounds[1:] - 1] = self.last[flat[bounds[1:] - 1]]
+        rank = np.full(len(sym), NO_RANK, np.int32)
+        inner = np.flatnonzero(of[:-1] == of[1:])
+        rank[inner] = self._least_ranks(sym[inner], sym[inner + 1])
+        ended, names = [], np.arange(len(words))
+        while len(names):
+            least = np.minimum.reduceat(rank, np.cumsum(sizes) - sizes)
+            done = least == NO_RANK
+            if 4 * done.sum() >= len(done):
+                over = np.repeat(done, sizes)
+                ended.append((names[done], sizes[done], sym[over]))
+                names, sizes, least = names[~done], sizes[~done], least[~done]
+                sym, rank = sym[~over], rank[~over]
+                of = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
+            at = np.flatnonzero((rank == np.repeat(least, sizes)) & (rank < NO_RANK))
+            near = np.diff(at, prepend=-2) == 1
+            if near.any():  # of overlapping pairs the left one is merged
+                k = np.arange(len(at))
+                at = at[(k - np.maximum.accumulate(np.where(near, 0, k))) % 2 == 0]
+            sym[at] = self.new[rank[at]]
+            kept = np.ones(len(sym), bool)
+            kept[at + 1] = False
+            sizes = sizes - np.bincount(of[at], minlength=len(names))
+            sym, rank, of = sym[kept], rank[kept], of[kept]
+            at = at - np.arange(len(at))
+            rank[at] = NO_RANK
+            left = at[at > 0] - 1
+            right = at[at < len(sym) - 1]
+            pairs = np.concatenate([left, right])
+            pairs = pairs[of[pairs] == of[pairs + 1]]
+            rank[pairs] = self._least_ranks(sym[pairs], sym[pairs + 1])
+        names, sizes, sym = (np.concatenate(x) for x in zip(*ended))
+        flat, sizes = _gathered(sym.astype("<u4"), np.concatenate([[0], np.cumsum(sizes)]), np.argsort(names))
+        return flat, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _all_words_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """words_flat, short words in rounds and long ones by the pair index."""
+        long = np.array([len(w) > SHORT for w in words], bool)
+        if not long.any():
+            return self.short_words_flat(words)
+        flat, cuts = self.short_words_flat([w for w in words if len(w) <= SHORT])
+        more, ends = self.words_flat([w for w in words if len(w) > SHORT])
+        bounds = np.concatenate([cuts, cuts[-1] + ends[1:]])
+        flat, sizes = _gathered(np.concatenate([flat, more]), bounds, np.argsort(np.argsort(long, kind="stable")))
+        return flat, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _least_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair's merge, NO_RANK where it has none."""
+        ranks = self._ranks(a, b)
+        return np.where(ranks < 0, NO_RANK, ranks)
+
     def _plain_words(self, piece: str) -> list[str]:
         return _WORDS.findall(piece)
 
@@ -211,29 +278,44 @@ class PairIndexBpe:
         known.update((p, v) for p, v in fresh.items() if len(p) <= CACHE_LENGTH)
         return out
 
-    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_flat(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin (texts + 1 values)."""
         running = gc.isenabled()
         gc.disable()
         try:
-            ends, pieces = np.zeros(len(texts) + 1, np.int64), []
-            for i, t in enumerate(texts):
-                if t:
-                    pieces += self._plan(t)
-                ends[i + 1] = len(pieces)
             met = len(self._number)
-            # a piece without a number gets the next one
-            numbers = np.fromiter(map(self._number.__getitem__, pieces), np.int64, len(pieces))
-            del pieces
+            texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+            numbers, ends = self._numbered(pc.fill_null(texts.cast(pa.large_string()), ""))
             self._learn(met)
             ids, sizes = _gathered(self._flat, self._bounds, numbers)
             if len(self._number) > CACHE_PIECES or len(self._flat) > CACHE_IDS:
-                self._keep(np.unique(numbers[numbers < met]))
+                again = np.zeros(len(self._number), bool)
+                again[numbers] = True
+                self._keep(np.flatnonzero(again[:met]))
             return ids, np.concatenate([[0], np.cumsum(sizes)])[ends]
         finally:
             if running:
                 gc.enable()
 
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts, and where each text's begin; a piece without a number gets the next one. Plain texts are
+        split by Arrow and looked up once for each distinct piece, what others need is planned one by one."""
+        number = self._number
+        plain = pc.and_not(pc.match_substring_regex(texts, _PLAIN_ARROW), pc.match_substring(texts, "<|"))
+        # empty pieces beside outer white space have no ids
+        split = pc.ascii_split_whitespace(pc.replace_substring(pc.utf8_lower(texts.filter(plain)), "\xa0", " "))
+        pieces = split.flatten().dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        distinct = np.fromiter(map(number.__getitem__, names), np.int64, len(names))
+        numbers, sizes = distinct[pieces.indices.to_numpy()], split.value_lengths().to_numpy()
+        if len(sizes) < len(texts):
+            plans = [self._plan(t) for t in texts.filter(pc.invert(plain)).to_pylist()]
+            others = np.array([number[p] for plan in plans for p in plan], np.int64)
+            bounds = np.concatenate([[0], np.cumsum([*sizes.tolist(), *map(len, plans)])])
+            order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+            numbers, sizes = _gathered(np.concatenate([numbers, others]), bounds, np.argsort(order))
+        return numbers, np.concatenate([[0], np.cumsum(sizes)])
+
     def _start_anew(self, pieces: list[str | bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         """Numbers of these pieces, and their ids one after the other."""
         self._number = defaultdict(count(len(pieces)).__next__, zip(pieces, range(len(pieces))))
@@ -249,20 +331,26 @@ class PairIndexBpe:
         """Ids of the pieces from number ``met`` on. Pieces of several words are put together from those of their words, which get numbers
         too."""
         number = self._number
-        whole, parts, owner = [], [], []
-        for piece in list(islice(number, met, None)):
-            words = [piece] if type(piece) is bytes or not _PLAIN.fullmatch(piece) else self._plain_words(piece)
-            if len(words) == 1 and words[0] == piece:
-                whole.append(piece)
-            else:
-                fresh = [w for w in words if w not in number]
-                parts += [number[w] for w in words]
-                owner += [number[piece]] * len(words)
-                whole += dict.fromkeys(fresh)
+        fresh = list(islice(number, met, None))
+        mixed = [p for p in fresh if type(p) is str and not p.isalpha()]
+        if not _PLAIN.fullmatch(" ".join(mixed)):
+            mixed = [p for p in mixed if _PLAIN.fullmatch(p)]
+        found = _WORDS_OR_BLANK.findall(" ".join(mixed))
+        blank = np.fromiter(map(" ".__eq__, found), bool, len(found))
+        words = [w for w in found if w != " "]
+        of = np.fromiter(map(number.__getitem__, mixed), np.int64, len(mixed))
+        owner = of[np.cumsum(blank)[~blank]]
+        parts = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         new = len(number) - met
-        at = np.array([number[w] for w in whole], np.int64) - met
+        single = np.ones(new, bool)
+        single[of - met] = False
+        single[owner[owner == parts] - met] = True
+        owner, parts = owner[owner != parts], parts[owner != parts]
+        at = np.flatnonzero(single)
+        fresh += islice(number, met + len(fresh), None)
+        whole = [fresh[i] for i in at.tolist()]
         special = np.array([type(w) is bytes for w in whole], bool)
-        flat, cuts = self.words_flat([w for w in whole if type(w) is str])
+        flat, cuts = self._all_words_flat([w for w in whole if type(w) is str])
         names = np.array([int.from_bytes(w, "little") for w in whole if type(w) is bytes], np.uint32)
         sizes, first = np.zeros(new, np.int64), np.zeros(new, np.int64)
         sizes[at[~special]], first[at[~special]] = np.diff(cuts), cuts[:-1]
@@ -273,8 +361,7 @@ class PairIndexBpe:
         alone = flat[np.repeat(first - base[:-1], sizes) + np.arange(base[-1])]
         held = np.concatenate([self._flat, alone])
         bounds = np.concatenate([self._bounds, self._bounds[-1] + base[1:]])
-        if parts:
-            parts, owner = np.array(parts, np.int64), np.array(owner, np.int64)
+        if len(parts):
             joined, lengths = _gathered(held, bounds, parts)
             np.add.at(sizes, owner - met, lengths)
             order = np.argsort(np.concatenate([np.repeat(np.arange(new), np.diff(base)), np.repeat(owner - met, lengths)]), kind="stable")

@@ -96,7 +96,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, window: int, id_col: str,
         for batch in batches:
             for at in range(0, batch.num_rows, bpe.BLOCK):
                 piece = batch.slice(at, bpe.BLOCK)
-                ids, cuts = encoder.encode_flat(piece.column(1).to_pylist())
+                ids, cuts = encoder.encode_flat(piece.column(1))
                 ids = np.insert(ids, cuts[1:], end_id).astype("<u2" if small else "<u4")
                 cuts += np.arange(len(cuts))
                 tokens = np.diff(cuts)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -379,6 +380,30 @@ def test_flat_encoding(rows, library, monkeypatch):
         assert len(own._flat) == own._bounds[-1] and len(own._number) == len(own._bounds) - 1
 
 
+def test_flat_encoding_merges_short_words_in_rounds(library, monkeypatch):
+    rng, lookups, real = np.random.default_rng(8), [], bpe.PairIndexBpe._ranks
+    plain = [chr(c) for c in range(0x250) if bpe._PLAIN.fullmatch(chr(c)) and bpe._PLAIN.fullmatch(chr(c).lower())]
+    letters = list("abcdeinorstuABC\u00e9\u00df\u00f1")
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 14, 4000)] + ["".join(rng.choice(plain, n)) for n in rng.integers(1, 30, 300)]
+    words += [c * n for c in "aeo!0" for n in (2, 3, 4, 5, 7, 63, 64, 65, 200)] + ["".join(rng.choice(letters, 3000))]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(300)] + [" ".join(words), "\xa0a\t\xa0b\n", "a\x1fb \x85", "\u0130 \u6f22 don't, a!<|endoftext|>", "x <|endoftext|>"]
+    texts = [x for t in texts for x in (t, None, "", " ")]
+    own = bpe.PairIndexBpe(WORD)
+    monkeypatch.setattr(bpe.PairIndexBpe, "_ranks", lambda self, a, b: lookups.append(len(a)) or real(self, a, b))
+    for given in (texts, pa.array(["x", *texts, "y"])[1:-1], pa.array(texts, pa.large_string())):
+        own = bpe.PairIndexBpe(WORD)
+        ids, cuts = own.encode_flat(given)
+        assert len(cuts) == len(texts) + 1
+        for t, a, b in zip(texts, cuts.tolist(), cuts[1:].tolist()):
+            assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids
+    lookups.clear()
+    own = bpe.PairIndexBpe(WORD)
+    short = [w for w in words if len(w) <= 14]
+    assert own.encode_flat([" ".join(short)])[0].tolist() == library.encode(" ".join(short), add_special_tokens=False).ids
+    assert len(lookups) <= 30  # rounds, not one look-up for each rank that is met
+    assert own.encode_flat([])[1].tolist() == [0]
+
+
 def test_a_worker_keeps_the_encoder_for_encoding_only():
     encode, other = common.trimmed(iter, keep=bpe.HELD), common.trimmed(iter)
     held = bpe.loaded(WORD)
