@@ -46,7 +46,7 @@ def main() -> None:
     chosen = sys.argv[1:] or HEADLINE
     for name in chosen:
         if name in HISTORY and "store_build" not in times:
-            timed("store_build", lambda: history(spark, sf_dir))
+            timed("store_build", lambda: dict(history(spark, sf_dir)))
         timed(name, lambda: discard(name))
     print(
         json.dumps(
